@@ -5,6 +5,8 @@ Every view reads whole tables, so its size follows the scale factor.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -175,16 +177,19 @@ SELECT conv_id AS sign_id, turn, concat('sign ', CAST(conv_id AS STRING)) AS rem
     ELSE '{"SERVICE": ["only service"]}' END AS answer
 FROM conversations"""
 
-_ORDER = list(VIEWS)
 _NEEDS = {"points": ["route_requests"]}
 
 
-def sql_with(names: list[str], query: str) -> str:
-    """A query preceded by the named views, for an engine that has only the given tables."""
+def _with_needs(names: list[str]) -> list[str]:
     wanted: list[str] = []
     for name in names:
         wanted += [n for n in [*_NEEDS.get(name, []), name] if n not in wanted]
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in wanted) + "\n" + query
+    return wanted
+
+
+def sql_with(names: list[str], query: str) -> str:
+    """A query preceded by the named views, for an engine that has only the given tables."""
+    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _with_needs(names)) + "\n" + query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,14 +204,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _at(text: str, sf_dir: str) -> str:
-    import re
-
     pattern = r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b"
     return re.sub(pattern, lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet` {'' if _aliased(text, m.end()) else m[2]}", text)
 
 
 def _aliased(text: str, end: int) -> bool:
-    import re
-
     following = re.match(r"\s+(\w+)", text[end:])
     return bool(following) and following[1].upper() not in {"WHERE", "JOIN", "ON", "CROSS", "UNION", "GROUP", "ORDER"}

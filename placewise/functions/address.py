@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placewise.functions.columns import sealed
+
 BLANKS = " \t\n\r\x0b\x0c "
 
 # --- Fixed values -------------------------------------------------------------------------------------------
@@ -268,7 +270,7 @@ def postprocess_address(df: DataFrame, source: str, target: str) -> DataFrame:
         _double_word(c("_city"), "thành phố"),
     )
     blank = strip(F.coalesce(c(source), F.lit(""))) == ""
-    return df.select(*[k for k in kept if k != target], F.when(blank, ", , , ").otherwise(joined).alias(target))
+    return df.select(*[k for k in kept if k != target], sealed(F.when(blank, ", , , ").otherwise(joined)).alias(target))
 
 
 def _strip_house_number(text: Column, pattern: str) -> Column:
@@ -326,7 +328,7 @@ def parse_address_kg(df: DataFrame, source: str, target: str) -> DataFrame:
         F.lit(DEFAULT_DISTRICT).alias("district"),
         F.lit(DEFAULT_CITY).alias("city"),
     )
-    return df.select(*[k for k in kept if k != target], parsed.alias(target))
+    return df.select(*[k for k in kept if k != target], sealed(parsed).alias(target))
 
 
 def parse_address_nine_districts(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -366,7 +368,7 @@ def parse_address_nine_districts(df: DataFrame, source: str, target: str) -> Dat
         F.when(blank, "").otherwise(strip(F.regexp_replace(district, r"(?iuU)^(?:quận|quan|huyện|huyen)\s+", ""))).alias("district"),
         F.lit("Cần Thơ").alias("city"),
     )
-    return df.select(*[k for k in kept if k != target], parsed.alias(target))
+    return df.select(*[k for k in kept if k != target], sealed(parsed).alias(target))
 
 
 FACET_ALIASES = _longest_first({
@@ -430,4 +432,4 @@ def parse_address_facet(df: DataFrame, source: str, target: str) -> DataFrame:
         c("_city").alias("city"),
         street_name.alias("street_name"),
     )
-    return df.select(*[k for k in kept if k != target], parsed.alias(target))
+    return df.select(*[k for k in kept if k != target], sealed(parsed).alias(target))

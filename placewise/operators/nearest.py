@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placewise.tables import materialize
+
 _SPLIT = 8  # children per axis and round
 _ROUNDS = 6
 
@@ -51,13 +53,15 @@ def nearest_candidates(
     placed = items.withColumns(
         {c: F.floor((F.col(a) - low) / finest).cast("long") for c, a in zip(cells, axes)}
     )
-    occupied = placed.groupBy(*key, *cells).agg(F.count("*").alias("_n"))
+    # Written once: all rounds read it, and its true size lets the planner broadcast it while it is small.
+    occupied = materialize(placed.groupBy(*key, *cells).agg(F.count("*").alias("_n")))
     levels = {_ROUNDS: occupied}
     for level in range(_ROUNDS - 1, 0, -1):
         up = {c: F.floor(F.col(c) / _SPLIT).cast("long") for c in cells}
         levels[level] = levels[level + 1].withColumns(up).groupBy(*key, *cells).agg(F.sum("_n").alias("_n"))
 
-    frontier = queries.select(query_id, *key, *axes, *[F.lit(0).cast("long").alias(f"_p{i}") for i in range(len(axes))])
+    # One shuffle by query; while the cells are broadcast, the windows of all rounds reuse it.
+    frontier = queries.repartition(query_id).select(query_id, *key, *axes, *[F.lit(0).cast("long").alias(f"_p{i}") for i in range(len(axes))])
     for level in range(1, _ROUNDS + 1):
         size = span / _SPLIT**level
         children = levels[level].withColumns(

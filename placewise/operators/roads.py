@@ -33,7 +33,7 @@ def load_ways(ways: DataFrame, bbox: tuple[float, float, float, float] | None =
     for n in ("lng", "lat"):
         for side, pick in (("min", F.array_min), ("max", F.array_max)):
             name = f"{side}_{n}"
-            bounds[name] = F.col(name) if name in kept.columns else pick(F.transform("coords", lambda p, n=n: p[n]))
+            bounds[name] = F.col(name) if name in kept.columns else pick(F.col("coords")[n])
     return kept.where(
         (bounds["min_lng"] <= bbox[2]) & (bounds["max_lng"] >= bbox[0]) & (bounds["min_lat"] <= bbox[3]) & (bounds["max_lat"] >= bbox[1])
     )

@@ -12,6 +12,7 @@ from placewise.functions.contact import is_phone_or_address
 from placewise.functions.geo import haversine_km
 from placewise.operators.nearest import nearest_candidates, unit_sphere
 from placewise.operators.substring import contains_join
+from placewise.tables import materialize
 
 # --- Fixed values -------------------------------------------------------------------------------------------
 FILLER_PHRASES = ["gần đây", "gan day", "ở đâu"]
@@ -115,7 +116,7 @@ def smart_search(stores: DataFrame, queries: DataFrame, k: int = SUGGESTIONS) ->
     """
     asked = queries.where(F.trim("keyword") != "").withColumn("word", search_word(F.col("keyword")))
     words = asked.select("word").distinct()
-    matched = _word_matches(words, stores)
+    matched = materialize(_word_matches(words, stores))
 
     placeless = asked.where("lng is null or lat is null").select("query_id", "word")
     first = matched.join(placeless.select("word").distinct(), "word", "left_semi").withColumn(

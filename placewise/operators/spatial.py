@@ -128,7 +128,7 @@ def snap_within(points: DataFrame, ways: DataFrame, tolerance: float = 0.001) ->
     levels = [tolerance * 4**i for i in range(10)]
     boxed = ways.select(
         "gid", "coords",
-        *[f(F.transform("coords", lambda c, n=n: c[n])).alias(f"{k}_{n}") for n in ("lng", "lat") for k, f in (("lo", F.array_min), ("hi", F.array_max))],
+        *[f(F.col("coords")[n]).alias(f"{k}_{n}") for n in ("lng", "lat") for k, f in (("lo", F.array_min), ("hi", F.array_max))],
     )
     extent = F.greatest(F.col("hi_lng") - F.col("lo_lng"), F.col("hi_lat") - F.col("lo_lat"))
     level = F.coalesce(*[F.when(extent <= size, F.lit(i)) for i, size in enumerate(levels)])

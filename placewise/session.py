@@ -15,6 +15,7 @@ def local_session(cores: str | int = "*", app: str = "placewise", partitions: in
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PLACEWISE_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )

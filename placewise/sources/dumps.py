@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 def parse_address_dump(lines: DataFrame, column: str = "value") -> DataFrame:
     """Values of a fixed-width text dump: no byte-order mark, header, rule, blank lines or row count.
 
-    The header is the line above the rule; it is the only line the dump centres with two or more blanks.
+    The header is a column name centred with blanks; values start after a single blank.
     """
     text = F.regexp_replace(column, "^﻿", "")
     rows = lines.select(text.alias("_t"))
-    noise = F.col("_t").rlike(r"^-+(\+-+)*$|^\(\d+ rows?\)$|^\s*$|^\s{2,}\S.*\s*$")
+    noise = F.col("_t").rlike(r"^-+(\+-+)*$|^\(\d+ rows?\)$|^\s*$|^\s{2,}[a-z_]+\s*$")
     return rows.where(~noise).select(F.trim("_t").alias("address"))
 
 

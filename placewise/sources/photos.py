@@ -17,8 +17,9 @@ def scan_gps_text(files: DataFrame) -> DataFrame:
         "pattern", F.explode(F.array(*[F.lit(p) for p in GPS_PATTERNS]))
     ).withColumn("_at", F.instr(F.col("_text"), F.col("pattern"))).where(F.col("_at") > 0)
     start = F.greatest(F.col("_at") - BEFORE, F.lit(1))
-    # Undecodable bytes at the edges of the snippet are dropped.
-    snippet = F.make_valid_utf8(F.decode(F.substring(F.col("content"), start, F.col("_at") + AFTER - start), "ISO-8859-1"))
+    # Undecodable bytes, such as cut characters at the edges, are dropped.
+    cut = F.substring(F.col("content"), start, F.col("_at") + AFTER - start)
+    snippet = F.replace(F.make_valid_utf8(cut.cast("string")), F.lit("\ufffd"), F.lit(""))
     return located.select("path", "pattern", snippet.alias("snippet"))
 
 

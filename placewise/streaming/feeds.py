@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
+from placewise.functions.columns import sealed
+from placewise.functions.formats import round_exact
 from placewise.functions.text import decide, normalize_text, similarity, weighted_score
 from placewise.operators.relational import recent_searches
 from placewise.operators.spatial import radius_join
@@ -49,11 +51,11 @@ def duplicate_alerts(arriving: DataFrame, stores: DataFrame, radius: float = 15.
     """
     asked = arriving.select("candidate_id", "lng", "lat", normalize_text(F.col("name")).alias("norm")).where("norm <> ''")
     known = stores.select("id", "lng", "lat", normalize_text(F.col("name")).alias("norm"))
-    pairs = radius_join(asked, known, radius).withColumn("metrics", similarity(F.col("l_norm"), F.col("r_norm")))
+    pairs = radius_join(asked, known, radius).select("*", sealed(similarity(F.col("l_norm"), F.col("r_norm"))).alias("metrics"))
     scored = pairs.withColumn("score", weighted_score(F.col("metrics"))).withColumn("decision", decide(F.col("score")))
     return scored.where(F.col("decision") != "accept").select(
-        F.col("l_candidate_id").alias("candidate_id"), F.col("r_id").alias("store_id"), F.round("distance", 2).alias("distance_m"),
-        F.round("score", 4).alias("score"), "decision",
+        F.col("l_candidate_id").alias("candidate_id"), F.col("r_id").alias("store_id"), round_exact(F.col("distance"), 2).alias("distance_m"),
+        round_exact(F.col("score"), 4).alias("score"), "decision",
     )
 
 
