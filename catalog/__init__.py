@@ -12,4 +12,4 @@ def load():
     return QUERIES, ORACLES
 
 
-_SUBJECTS = ["text_queries", "store_queries", "sign_queries", "workflow_queries", "road_queries"]
+_SUBJECTS = ["text_queries", "store_queries", "sign_queries", "workflow_queries", "road_queries", "stream_queries"]

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placewise.streaming.feeds import read_changes
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -208,6 +210,13 @@ def _at(text: str, sf_dir: str) -> str:
     return re.sub(pattern, lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet` {'' if _aliased(text, m.end()) else m[2]}", text)
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str, source: str) -> DataFrame:
+    """A domain view over one given table, read as a stream."""
+    changes = read_changes(spark, sf_dir, table(spark, sf_dir, source).schema, f"{source}.parquet")
+    changes.createOrReplaceTempView(f"stream_of_{source}")
+    return spark.sql(re.sub(rf"\bFROM {source}\b", f"FROM stream_of_{source}", VIEWS[name]))
+
+
 def _aliased(text: str, end: int) -> bool:
     following = re.match(r"\s+(\w+)", text[end:])
     return bool(following) and following[1].upper() not in {"WHERE", "JOIN", "ON", "CROSS", "UNION", "GROUP", "ORDER"}

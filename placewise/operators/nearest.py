@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewise.tables import materialize
+from placewise.tables import materialize, materialize_split
 
 _SPLIT = 8  # children per axis and round
 _ROUNDS = 6
@@ -50,15 +50,19 @@ def nearest_candidates(
     finest = span / _SPLIT**_ROUNDS
     tolerance = slack + span * 1e-9
 
-    placed = items.withColumns(
+    queries = materialize(queries.select(query_id, *key, *axes))
+    placed = materialize(items.withColumns(
         {c: F.floor((F.col(a) - low) / finest).cast("long") for c, a in zip(cells, axes)}
-    )
-    # Written once: all rounds read it, and its true size lets the planner broadcast it while it is small.
-    occupied = materialize(placed.groupBy(*key, *cells).agg(F.count("*").alias("_n")))
-    levels = {_ROUNDS: occupied}
-    for level in range(_ROUNDS - 1, 0, -1):
-        up = {c: F.floor(F.col(c) / _SPLIT).cast("long") for c in cells}
-        levels[level] = levels[level + 1].withColumns(up).groupBy(*key, *cells).agg(F.sum("_n").alias("_n"))
+    ))
+    # The occupied cells of all levels, counted in one pass and written per level: their true sizes let the
+    # planner broadcast a level while it is small.
+    occupied = placed.groupBy(*key, *cells).agg(F.count("*").alias("_n"))
+    at_level = F.struct(F.col("_up").alias("_level"), *[
+        F.floor(F.col(c) / F.pow(F.lit(float(_SPLIT)), F.lit(_ROUNDS) - F.col("_up"))).cast("long").alias(c) for c in cells
+    ])
+    spread = occupied.withColumn("_up", F.explode(F.sequence(F.lit(1), F.lit(_ROUNDS)))).select(*key, "_n", at_level.alias("_at"))
+    counted = spread.groupBy(*key, "_at").agg(F.sum("_n").alias("_n")).select(*key, "_at.*", "_n")
+    levels = materialize_split(counted, "_level", list(range(1, _ROUNDS + 1)))
 
     # One shuffle by query; while the cells are broadcast, the windows of all rounds reuse it.
     frontier = queries.repartition(query_id).select(query_id, *key, *axes, *[F.lit(0).cast("long").alias(f"_p{i}") for i in range(len(axes))])

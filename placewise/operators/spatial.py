@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions.geo import haversine_m, project_to_segment
 from placewise.operators.nearest import nearest_candidates
+from placewise.tables import materialize
 
 _METRES_PER_DEGREE = 111000.0  # a little less than the true value, so cells are a little too large
 _HOT_CELL = 20000
@@ -66,7 +67,13 @@ def radius_join(
             other: F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)),
         }).drop("_tiles")
 
-    pairs = tiled(l, "l_", "_tl", "_tr").join(tiled(r, "r_", "_tr", "_tl"), ["_row", "_col", "_tl", "_tr"])
+    # Rows are few bytes but pairs are scored later, so the join keeps all its partitions.
+    keys = ["_row", "_col", "_tl", "_tr"]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = [tiled(l, "l_", "_tl", "_tr"), tiled(r, "r_", "_tr", "_tl")]
+    if not left.isStreaming:
+        sides = [side.repartition(parts, *keys) for side in sides]
+    pairs = sides[0].join(sides[1], keys)
     if self_id:
         pairs = pairs.where(F.col(f"l_{self_id}") < F.col(f"r_{self_id}"))
     pairs = pairs.withColumn("distance", haversine_m(F.col("l_lng"), F.col("l_lat"), F.col("r_lng"), F.col("r_lat")))
@@ -99,10 +106,36 @@ def _best_projection(candidates: DataFrame, points: DataFrame) -> DataFrame:
 def snap_to_edges(points: DataFrame, ways: DataFrame, piece: float = 0.001) -> DataFrame:
     """Nearest road edge of every point (point_id, lng, lat), planar squared degrees.
 
-    Segments are cut into pieces of at most ``piece`` degrees; the nearest pieces by midpoint, widened by half
-    a piece, hold the nearest segment. ``ratio`` is the position within the winning segment.
+    Segments are cut into pieces of at most ``piece`` degrees. A point first meets the pieces in the cells
+    around it; a segment found within one cell width is surely the nearest. Points without one (far from any
+    road) take the exact nearest join: the nearest pieces by midpoint, widened by half a piece, hold the
+    nearest segment. ``ratio`` is the position within the winning segment.
     """
-    segments = _segments(ways)
+    pieces = materialize(_pieces(_segments(ways), piece))
+    cell = 2 * piece
+    home = {"_x": F.floor(F.col("lng") / cell).cast("long"), "_y": F.floor(F.col("lat") / cell).cast("long")}
+    # Pieces are listed in the 3 x 3 cells around their midpoint: pieces are fewer than points. A midpoint
+    # outside them is more than a cell away, its piece more than half a piece less than that.
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    listed = pieces.withColumns({"_dx": F.explode(around)}).withColumns({"_dy": F.explode(around)}).select(
+        "gid", "seg", "ax", "ay", "bx", "by", (F.floor(F.col("mx") / cell).cast("long") + F.col("_dx")).alias("_x"),
+        (F.floor(F.col("my") / cell).cast("long") + F.col("_dy")).alias("_y"),
+    ).distinct()
+    found = _best_projection(points.withColumns(home).select("point_id", "_x", "_y").join(listed, ["_x", "_y"]).drop("_x", "_y"), points)
+    near = materialize(found.where(F.sqrt("d2") <= cell - piece * _HALF_DIAGONAL))
+    rest = materialize(points.join(near, "point_id", "left_anti"))
+    if rest.isEmpty():
+        return near
+    spots = rest.select("point_id", F.col("lng").alias("mx"), F.col("lat").alias("my"))
+    candidates = nearest_candidates(spots, pieces, "point_id", ["mx", "my"], low=-180.0, span=360.0, slack=piece * _HALF_DIAGONAL)
+    return near.unionByName(_best_projection(candidates, rest))
+
+
+_HALF_DIAGONAL = 0.7072  # a little more than half the diagonal of the unit square
+
+
+def _pieces(segments: DataFrame, piece: float) -> DataFrame:
+    """Segments cut into pieces, each with its midpoint (mx, my)."""
     count = F.greatest(
         F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) / piece).cast("long"), F.lit(1)
     )
@@ -110,12 +143,9 @@ def snap_to_edges(points: DataFrame, ways: DataFrame, piece: float = 0.001) -> D
         "_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1))
     )
     share = (F.col("_i") + 0.5) / F.col("_count")
-    pieces = pieces.withColumns({
+    return pieces.withColumns({
         "mx": F.col("ax") + share * (F.col("bx") - F.col("ax")), "my": F.col("ay") + share * (F.col("by") - F.col("ay")),
     }).drop("_i", "_count")
-    spots = points.select("point_id", F.col("lng").alias("mx"), F.col("lat").alias("my"))
-    found = nearest_candidates(spots, pieces, "point_id", ["mx", "my"], low=-180.0, span=360.0, slack=piece * 0.7072)
-    return _best_projection(found, points)
 
 
 def snap_within(points: DataFrame, ways: DataFrame, tolerance: float = 0.001) -> DataFrame:

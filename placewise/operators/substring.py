@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 _GRAM = 3
 
 
-def _grams(text: Column) -> Column:
-    """Distinct substrings of 1 to 3 characters."""
+def _grams(text: Column, widths: list[int]) -> Column:
+    """Distinct substrings of the given lengths."""
     def of_width(width: int) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.length(text) - width + 1, F.lit(1)))
         return F.transform(at, lambda i: F.substring(text, i, F.lit(width)))
 
-    return F.array_distinct(F.flatten(F.array(*[of_width(w) for w in range(1, _GRAM + 1)])))
+    return F.array_distinct(F.flatten(F.array(*[of_width(w) for w in widths])))
 
 
 def contains_join(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> DataFrame:
@@ -25,5 +25,7 @@ def contains_join(needles: DataFrame, texts: DataFrame, needle: str, text: str)
     shuffles on the gram and adaptive execution splits frequent grams.
     """
     keyed = needles.where(F.col(needle) != "").withColumn("_gram", F.substring(needle, 1, _GRAM))
-    spread = texts.withColumn("_gram", F.explode(_grams(F.col(text))))
+    # Which of the three gram lengths occur: at most three values.
+    widths = sorted(r[0] for r in keyed.select(F.length("_gram")).distinct().collect())
+    spread = texts.withColumn("_gram", F.explode(_grams(F.col(text), widths or [_GRAM])))
     return spread.join(keyed, "_gram").where(F.contains(F.col(text), F.col(needle))).drop("_gram")

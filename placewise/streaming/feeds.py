@@ -19,9 +19,10 @@ from placewise.operators.workflow import apply_approvals
 ADDED, UPDATED = "STORE_ADDED", "STORE_UPDATED"
 
 
-def read_changes(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
+def read_changes(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
     """Stream of parquet files as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("pathGlobFilter", glob).parquet(folder)
 
 
 def store_updates(changes: DataFrame) -> DataFrame:
@@ -82,3 +83,25 @@ def run_once(writer: DataStreamWriter, checkpoint: str):
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def append_once(stream: DataFrame, path: str) -> DataFrame:
+    """Run an append-only stream into a table under ``path`` until nothing is left; the table."""
+    run_once(stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows"), f"{path}/progress")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def update_once(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Run an aggregated stream until nothing is left; the latest row of every key.
+
+    Each batch writes its changed rows to a folder of its own, so a repeated batch replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    run_once(stream.writeStream.outputMode("update").foreachBatch(write), f"{path}/progress")
+    written = stream.sparkSession.read.parquet(f"{path}/rows")
+    values = [c for c in stream.columns if c not in keys]
+    latest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return latest.select(*[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in stream.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +31,26 @@ def materialize(df: DataFrame) -> DataFrame:
     Cuts the lineage, survives lost executors, and gives the planner true sizes for its join choice.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/placewise/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_split(df: DataFrame, column: str, values: list) -> dict:
+    """Like ``materialize``, one table per value of ``column``, each with its own true size."""
+    spark = df.sparkSession
+    path = fresh_path(spark)
+    df.write.partitionBy(column).parquet(path)
+    schema = df.drop(column).schema
+    tables = {}
+    for value in values:
+        try:
+            tables[value] = spark.read.schema(schema).parquet(f"{path}/{column}={value}")
+        except AnalysisException:  # no row has this value
+            tables[value] = spark.createDataFrame([], schema)
+    return tables
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new, empty place in the shared folder."""
+    return f"{shared_folder(spark)}/placewise/{uuid.uuid4().hex}"
