@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,20 +114,21 @@ def virtual_links(snapped: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataF
 
 
 def shortest_paths(
-    starts: DataFrame, ends: DataFrame, adjacency: DataFrame, max_rounds: int = 100000
+    starts: DataFrame, ends: DataFrame, adjacency: DataFrame, max_rounds: int = 100000, settle_every: int = 8
 ) -> tuple[DataFrame, DataFrame]:
     """Cheapest paths of all requests at once: (found: query_id, node, edge_id, cost; state).
 
     ``starts`` and ``ends`` are link tables (query_id, node, cost, edge_id). Every round relaxes the arcs of
     the nodes improved in the round before; a node costlier than the best known arrival of its request is
     dropped, so a request explores only the surroundings of its path. Equal costs: smallest (pred, edge).
-    ``state`` keeps cost, pred and pred_edge per (query_id, node).
+    ``state`` keeps cost, pred and pred_edge per (query_id, node). Every ``settle_every`` rounds the rows of
+    finished requests are set aside, so that later rounds rewrite only those still searching.
     """
     state = starts.groupBy("query_id", "node").agg(
         F.min(F.struct("cost", F.lit(START_NODE).cast("bigint").alias("pred"), F.col("edge_id").alias("pred_edge"))).alias("b")
     ).select("query_id", "node", "b.*", F.lit(0).alias("round"))
     ends, adjacency = materialize(ends), materialize(adjacency)
-    state = materialize(state)
+    state, settled = materialize(state), []
     for step in range(1, max_rounds + 1):
         arrival = _arrivals(state, ends).groupBy("query_id").agg(F.min("cost").alias("_best"))
         frontier = state.where(F.col("round") == step - 1).select("query_id", F.col("node").alias("u"), F.col("cost").alias("_cost"))
@@ -145,8 +148,13 @@ def shortest_paths(
         ))
         if state.where(F.col("round") == step).isEmpty():
             break
+        if step % settle_every == 0:
+            searching = materialize(state.where(F.col("round") == step).select("query_id").distinct())
+            settled.append(materialize(state.join(searching, "query_id", "left_anti")))
+            state = materialize(state.join(searching, "query_id", "left_semi"))
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
+    state = reduce(lambda a, b: a.unionByName(b), settled, state)
     found = _arrivals(state, ends).groupBy("query_id").agg(F.min(F.struct("cost", "node", "edge_id")).alias("b"))
     return found.select("query_id", "b.node", "b.edge_id", "b.cost"), state
 

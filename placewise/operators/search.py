@@ -39,6 +39,8 @@ SUGGESTIONS = 10
 PAGE_SIZE = 10
 # ------------------------------------------------------------------------------------------------------------
 
+IMAGES_PER_ROW = 10000
+
 
 def order_by(df: DataFrame, key: str, desc: bool = False, tie: str = "id") -> DataFrame:
     """Total order by a column; the id decides ties."""
@@ -192,13 +194,22 @@ def display_filter(
     return shown
 
 
-def with_public_images(stores: DataFrame, images: DataFrame) -> DataFrame:
-    """Nest the public images of every store as an array ordered by image id."""
-    public = images.where(F.col("state") == "public").groupBy(F.col("store_id").alias("id")).agg(
+def with_public_images(stores: DataFrame, images: DataFrame, part_size: int = IMAGES_PER_ROW) -> DataFrame:
+    """Nest the public images of every store as an array ordered by image id.
+
+    A store with more than ``part_size`` images gets several rows (``images_part`` 0, 1, ...) that share them
+    out, so no row or task holds an unbounded list and no image is left out.
+    """
+    public = images.where(F.col("state") == "public").select("store_id", "id", "image", "describe")
+    large = public.groupBy("store_id").agg(F.count("*").alias("_n")).where(F.col("_n") > part_size)
+    large = large.select("store_id", F.ceil(F.col("_n") / part_size).alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
+    nested = public.join(large, "store_id", "left").groupBy(F.col("store_id").alias("id"), part.alias("images_part")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("id").alias("id"), "image", "describe"))).alias("images")
     )
     empty = F.array().cast("array<struct<id:bigint,image:string,describe:string>>")
-    return stores.join(public, "id", "left").withColumn("images", F.coalesce("images", empty))
+    joined = stores.join(nested, "id", "left")
+    return joined.withColumns({"images": F.coalesce("images", empty), "images_part": F.coalesce("images_part", F.lit(0))})
 
 
 def pending(approvals: DataFrame) -> DataFrame:

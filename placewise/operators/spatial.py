@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions.geo import haversine_m, project_to_segment
 from placewise.operators.nearest import nearest_candidates
-from placewise.tables import materialize
+from placewise.tables import materialize, shuffle_width
 
 _METRES_PER_DEGREE = 111000.0  # a little less than the true value, so cells are a little too large
 _HOT_CELL = 20000
@@ -69,7 +69,7 @@ def radius_join(
 
     # Rows are few bytes but pairs are scored later, so the join keeps all its partitions.
     keys = ["_row", "_col", "_tl", "_tr"]
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_width(left.sparkSession)
     sides = [tiled(l, "l_", "_tl", "_tr"), tiled(r, "r_", "_tr", "_tl")]
     if not left.isStreaming:
         sides = [side.repartition(parts, *keys) for side in sides]
@@ -156,6 +156,7 @@ def snap_within(points: DataFrame, ways: DataFrame, tolerance: float = 0.001) ->
     looks at every level.
     """
     levels = [tolerance * 4**i for i in range(10)]
+    ways = materialize(ways.select("gid", "coords"))
     boxed = ways.select(
         "gid", "coords",
         *[f(F.col("coords")[n]).alias(f"{k}_{n}") for n in ("lng", "lat") for k, f in (("lo", F.array_min), ("hi", F.array_max))],
@@ -181,9 +182,9 @@ def snap_within(points: DataFrame, ways: DataFrame, tolerance: float = 0.001) ->
         (F.col("lo_lng") <= F.col("lng") + tolerance) & (F.col("hi_lng") >= F.col("lng") - tolerance)
         & (F.col("lo_lat") <= F.col("lat") + tolerance) & (F.col("hi_lat") >= F.col("lat") - tolerance)
     ).select("point_id", "gid").distinct()
-    found = _best_projection(near.join(_segments(ways), "gid"), points)
-    rest = points.join(found, "point_id", "left_anti")
-    return found.unionByName(snap_to_edges(rest, ways))
+    found = materialize(_best_projection(near.join(_segments(ways), "gid"), points))
+    rest = materialize(points.join(found, "point_id", "left_anti"))
+    return found if rest.isEmpty() else found.unionByName(snap_to_edges(rest, ways))
 
 
 def clip_to_ring(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:

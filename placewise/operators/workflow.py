@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PATCHED_FIELDS = ["name", "address", "describe", "phone", "email", "open_time", "close_time"]
@@ -14,14 +14,14 @@ def decide_approvals(approvals: DataFrame, decisions: DataFrame) -> tuple[DataFr
 
     Only pending entries can be decided, by the first decision on them; approving needs a readable note.
     """
-    order = Window.partitionBy("approval_id").orderBy("decision_id")
-    first = decisions.withColumn("_n", F.row_number().over(order))
+    first = decisions.groupBy("approval_id").agg(F.min("decision_id").alias("_first"))
     target = approvals.select(F.col("id").alias("approval_id"), F.col("status").alias("_status"), "note")
-    checked = first.join(target, "approval_id", "left")
+    target = first.join(target, "approval_id", "left")
+    checked = decisions.join(target, "approval_id")
     readable = F.json_array_length("note").isNotNull() | F.json_object_keys("note").isNotNull()
     reason = (
         F.when(F.col("_status").isNull(), "unknown approval")
-        .when((F.col("_status") != "pending") | (F.col("_n") > 1), "already decided")
+        .when((F.col("_status") != "pending") | (F.col("decision_id") > F.col("_first")), "already decided")
         .when((F.col("decision") == "approved") & ~readable, "unreadable note")
     )
     checked = checked.withColumn("reason", reason)

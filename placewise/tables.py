@@ -51,6 +51,12 @@ def materialize_split(df: DataFrame, column: str, values: list) -> dict:
     return tables
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Number of shuffle partitions the session asks for."""
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(initial or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fresh_path(spark: SparkSession) -> str:
     """A new, empty place in the shared folder."""
     return f"{shared_folder(spark)}/placewise/{uuid.uuid4().hex}"

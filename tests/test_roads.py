@@ -59,7 +59,7 @@ def routed(spark):
     requests = spark.createDataFrame(asked, "query_id long, start_lng double, start_lat double, end_lng double, end_lat double")
     snapped = roads.snap_requests(requests, ways).cache()
     starts, ends = roads.virtual_links(snapped.where("start_edge_id <> end_edge_id"), ways)
-    found, state = roads.shortest_paths(starts, ends, roads.build_road_graph(ways)[0])
+    found, state = roads.shortest_paths(starts, ends, roads.build_road_graph(ways)[0], settle_every=2)
     steps = roads.trace_paths(found, state, unroll=3).cache()
     return rows, ways, snapped, starts.collect(), ends.collect(), found.collect(), steps
 

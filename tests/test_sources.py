@@ -113,6 +113,16 @@ def test_duplicate_alerts_on_a_stream(spark, tmp_path):
     assert [(r.candidate_id, r.store_id, r.decision) for r in rows] == [(9, 1, "reject")]
 
 
+def test_images_of_a_busy_store_are_shared_out(spark):
+    shops = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    rows = [(i, 1, f"{i}.jpg", "", "public") for i in range(500)] + [(1000, 2, "a.jpg", "", "public"), (1001, 2, "b.jpg", "", "private")]
+    images = spark.createDataFrame(rows, "id long, store_id long, image string, describe string, state string")
+    nested = S.with_public_images(shops, images, part_size=100).collect()
+    assert sorted(i.id for r in nested if r.id == 1 for i in r.images) == list(range(500))
+    assert len({r.images_part for r in nested if r.id == 1}) == 5
+    assert {(r.id, len(r.images)) for r in nested if r.id != 1} == {(2, 1), (3, 0)}
+
+
 def test_explicit_null_and_bad_notes(spark):
     table = spark.createDataFrame([(1, 3, "old", "p", 1.0, 2.0, "pending", False), (2, 3, "b", "q", 1.0, 2.0, "active", True)], "id long, category_id long, name string, phone string, lat double, lng double, state string, is_active boolean")
     notes = [
