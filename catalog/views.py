@@ -106,22 +106,21 @@ VIEWS["ways"] = f"""
 SELECT gid, source, target, cost, reverse_cost, length_m, name, tag_id,
   concat('{{"type":"LineString","coordinates":[[', x1, ',', y1, '],',
     CASE WHEN gid % 5 = 0 THEN concat('[', xm, ',', ym, '],') ELSE '' END, '[', x2, ',', y2, ']]}}') AS geom
-FROM (SELECT n.p_partkey * 2 + k.d AS gid, n.p_partkey AS source,
-  n.p_partkey + CASE k.d WHEN 0 THEN 1 ELSE {GRID} END AS target,
-  CAST(1 AS DOUBLE) AS cost, CAST(CASE WHEN (n.p_partkey * 2 + k.d) % 7 = 0 THEN -1 ELSE 1 END AS DOUBLE) AS reverse_cost,
-  CAST(112 + ((n.p_partkey * 2 + k.d) * 37) % 100 AS DOUBLE) AS length_m,
-  CASE WHEN k.d = 0 THEN concat('Phố ', CAST(CAST(floor(n.p_partkey / {GRID}) AS BIGINT) AS STRING))
-    ELSE concat('Hẻm ', CAST(n.p_partkey % {GRID} AS STRING)) END AS name,
-  CASE WHEN (n.p_partkey * 2 + k.d) % 31 = 0 THEN 114 ELSE 100 END AS tag_id,
-  CAST(CAST(105.7 + (n.p_partkey % {GRID}) * 0.001 AS DECIMAL(9, 4)) AS STRING) AS x1,
-  CAST(CAST(10 + floor(n.p_partkey / {GRID}) * 0.001 AS DECIMAL(9, 4)) AS STRING) AS y1,
-  CAST(CAST(105.7 + (n.p_partkey % {GRID}) * 0.001 + CASE k.d WHEN 0 THEN 0.0005 ELSE 0.0001 END AS DECIMAL(9, 4)) AS STRING) AS xm,
-  CAST(CAST(10 + floor(n.p_partkey / {GRID}) * 0.001 + CASE k.d WHEN 0 THEN 0.0001 ELSE 0.0005 END AS DECIMAL(9, 4)) AS STRING) AS ym,
-  CAST(CAST(105.7 + (n.p_partkey % {GRID} + 1 - k.d) * 0.001 AS DECIMAL(9, 4)) AS STRING) AS x2,
-  CAST(CAST(10 + (floor(n.p_partkey / {GRID}) + k.d) * 0.001 AS DECIMAL(9, 4)) AS STRING) AS y2
-FROM part n JOIN (SELECT 0 AS d UNION ALL SELECT 1 AS d) k
-  ON (k.d = 0 AND n.p_partkey % {GRID} < {GRID - 1}) OR k.d = 1
-JOIN part m ON m.p_partkey = n.p_partkey + CASE k.d WHEN 0 THEN 1 ELSE {GRID} END) AS edges"""
+FROM (SELECT k.gid, k.node AS source, k.target, CAST(1 AS DOUBLE) AS cost,
+  CAST(CASE WHEN k.gid % 7 = 0 THEN -1 ELSE 1 END AS DOUBLE) AS reverse_cost,
+  CAST(112 + (k.gid * 37) % 100 AS DOUBLE) AS length_m,
+  CASE WHEN k.d = 0 THEN concat('Phố ', CAST(CAST(floor(k.node / {GRID}) AS BIGINT) AS STRING))
+    ELSE concat('Hẻm ', CAST(k.node % {GRID} AS STRING)) END AS name,
+  CASE WHEN k.gid % 31 = 0 THEN 114 ELSE 100 END AS tag_id,
+  CAST(CAST(105.7 + (k.node % {GRID}) * 0.001 AS DECIMAL(9, 4)) AS STRING) AS x1,
+  CAST(CAST(10 + floor(k.node / {GRID}) * 0.001 AS DECIMAL(9, 4)) AS STRING) AS y1,
+  CAST(CAST(105.7 + (k.node % {GRID}) * 0.001 + CASE k.d WHEN 0 THEN 0.0005 ELSE 0.0001 END AS DECIMAL(9, 4)) AS STRING) AS xm,
+  CAST(CAST(10 + floor(k.node / {GRID}) * 0.001 + CASE k.d WHEN 0 THEN 0.0001 ELSE 0.0005 END AS DECIMAL(9, 4)) AS STRING) AS ym,
+  CAST(CAST(105.7 + (k.node % {GRID} + 1 - k.d) * 0.001 AS DECIMAL(9, 4)) AS STRING) AS x2,
+  CAST(CAST(10 + (floor(k.node / {GRID}) + k.d) * 0.001 AS DECIMAL(9, 4)) AS STRING) AS y2
+FROM (SELECT p_partkey AS node, 0 AS d, p_partkey * 2 AS gid, p_partkey + 1 AS target FROM part WHERE p_partkey % {GRID} < {GRID - 1}
+  UNION ALL SELECT p_partkey AS node, 1 AS d, p_partkey * 2 + 1 AS gid, p_partkey + {GRID} AS target FROM part) k
+JOIN part m ON m.p_partkey = k.target) AS edges"""
 
 # Every customer asks for a route between two points a few blocks apart.
 VIEWS["route_requests"] = f"""
@@ -151,24 +150,24 @@ SELECT conv_id AS image_id, turn AS line_no,
 FROM conversations"""
 
 # Word boxes: each line of a sign is cut into boxes with jitter in height and position.
-VIEWS["boxes"] = """
-SELECT conv_id AS sign_id, turn * 10 + w.n AS box_id,
-  CAST(w.n * 60 + (conv_id * 7 + turn * 11 + w.n * 5) % 37 AS DOUBLE) AS min_x,
-  CAST(turn * 34 + (conv_id * 3 + turn * 5 + w.n * 7) % 15 AS DOUBLE) AS min_y,
-  CAST(w.n * 60 + (conv_id * 7 + turn * 11 + w.n * 5) % 37 + 30 + length(text) % 20 AS DOUBLE) AS max_x,
-  CAST(turn * 34 + (conv_id * 3 + turn * 5 + w.n * 7) % 15 + 10 + (conv_id + turn * w.n) % 25 AS DOUBLE) AS max_y
-FROM conversations JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) w ON w.n <= turn + 1"""
+VIEWS["boxes"] = " UNION ALL ".join(f"""
+SELECT conv_id AS sign_id, turn * 10 + {n} AS box_id,
+  CAST({n} * 60 + (conv_id * 7 + turn * 11 + {n} * 5) % 37 AS DOUBLE) AS min_x,
+  CAST(turn * 34 + (conv_id * 3 + turn * 5 + {n} * 7) % 15 AS DOUBLE) AS min_y,
+  CAST({n} * 60 + (conv_id * 7 + turn * 11 + {n} * 5) % 37 + 30 + length(text) % 20 AS DOUBLE) AS max_x,
+  CAST(turn * 34 + (conv_id * 3 + turn * 5 + {n} * 7) % 15 + 10 + (conv_id + turn * {n}) % 25 AS DOUBLE) AS max_y
+FROM conversations WHERE {n} <= turn + 1""" for n in range(4))
 
 VIEWS["detections"] = """
 SELECT conv_id AS image_id, turn AS box_id, CAST((conv_id * 37 + turn * 61) % 100 AS DOUBLE) / 100 AS conf,
   CAST(turn * 10 AS INT) AS x1, CAST(turn * 5 AS INT) AS y1, CAST(turn * 10 + 90 AS INT) AS x2, CAST(turn * 5 + 40 AS INT) AS y2
 FROM conversations"""
 
-VIEWS["variants"] = """
-SELECT conv_id AS image_id, turn AS line_no, v.n AS variant_order,
-  CAST((conv_id * 31 + turn * 17 + v.n * 23) % 41 + 60 AS DOUBLE) / 100 AS prob,
-  CASE WHEN (conv_id + turn) % 13 = 0 THEN '…' ELSE concat(text, ' ', CAST(v.n AS STRING)) END AS text
-FROM conversations CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) v"""
+VIEWS["variants"] = " UNION ALL ".join(f"""
+SELECT conv_id AS image_id, turn AS line_no, {n} AS variant_order,
+  CAST((conv_id * 31 + turn * 17 + {n} * 23) % 41 + 60 AS DOUBLE) / 100 AS prob,
+  CASE WHEN (conv_id + turn) % 13 = 0 THEN '…' ELSE concat(text, ' {n}') END AS text
+FROM conversations""" for n in range(4))
 
 VIEWS["extractions"] = """
 SELECT conv_id AS sign_id, turn, concat('sign ', CAST(conv_id AS STRING)) AS remaining_text,

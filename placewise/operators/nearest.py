@@ -65,7 +65,8 @@ def nearest_candidates(
     levels = materialize_split(counted, "_level", list(range(1, _ROUNDS + 1)))
 
     # One shuffle by query; while the cells are broadcast, the windows of all rounds reuse it.
-    frontier = queries.repartition(query_id).select(query_id, *key, *axes, *[F.lit(0).cast("long").alias(f"_p{i}") for i in range(len(axes))])
+    root = [F.least(F.floor((F.col(a) - low) / span).cast("long"), F.lit(0)).alias(f"_p{i}") for i, a in enumerate(axes)]
+    frontier = queries.repartition(query_id).select(query_id, *key, *axes, *root)
     for level in range(1, _ROUNDS + 1):
         size = span / _SPLIT**level
         children = levels[level].withColumns(
