@@ -451,3 +451,25 @@ def _tokens(x: str) -> str:
 def _(d):
     o = _pairs(d).withColumn("o", text.token_overlap(F.col("na"), F.col("nb")))
     return o.select("id", *[F.array_join(f"o.{c}", "|").alias(c) for c in ("common", "only_a", "only_b")])
+
+
+# --- written files, read back -------------------------------------------------------------------------------
+@query("s7_backup_round_trip", "SELECT id, address AS address_normalized FROM b_out", "stores", {"src": f"SELECT id, {_preprocess('address')} AS a FROM stores", **postprocess_ctes("src")})
+def _(d):
+    from placewise.plans.addresses import normalized_addresses
+    from placewise.sources.dumps import write_backup
+    from placewise.tables import fresh_path
+
+    path = fresh_path(d.spark)
+    write_backup(normalized_addresses(d.stores), path)
+    return d.spark.read.schema("id long, address_raw string, address_normalized string").json(path).select("id", "address_normalized")
+
+
+@query("s8_corpus_round_trip", "SELECT name AS text, CAST(category_id AS VARCHAR) AS label FROM stores", "stores")
+def _(d):
+    from placewise.plans.corpus import write_corpus
+    from placewise.tables import fresh_path
+
+    path = fresh_path(d.spark)
+    write_corpus(d.stores.select(F.col("name").alias("text"), F.col("category_id").cast("string").alias("label")), path)
+    return d.spark.read.schema("text string, label string").csv(path, header=True)
