@@ -312,17 +312,20 @@ def turn_by_turn(steps: DataFrame) -> DataFrame:
     joins = (F.col("kind") == "road") & (was["kind"] == "road") & was["name"].eqNullSafe(F.col("name"))
     p, q = was["coords"], F.col("coords")
     from_a, from_b, to_a, to_b = F.try_element_at(p, F.lit(-2)), F.try_element_at(p, F.lit(-1)), F.get(q, F.lit(0)), F.get(q, F.lit(1))
-    turn = turn_type(
-        bearing(from_a["lng"], from_a["lat"], from_b["lng"], from_b["lat"]), bearing(to_a["lng"], to_a["lat"], to_b["lng"], to_b["lat"])
-    )
+    # Bearings are columns of their own, so that the turn class does not repeat their trigonometry.
     marked = steps.withColumns({
-        "_new": (~F.coalesce(joins, F.lit(False))).cast("int"),
-        "turn": F.when(F.col("kind") != "road", F.col("kind"))
-        .when(was["kind"].isNull(), "start")
-        .when(was["kind"] != "road", "straight")
-        .when((F.size(p) < 2) | (F.size(q) < 2), "straight")
-        .otherwise(turn),
+        "_new": (~F.coalesce(joins, F.lit(False))).cast("int"), "_was": was["kind"],
+        "_bent": (F.size(p) >= 2) & (F.size(q) >= 2),
+        "_in": bearing(from_a["lng"], from_a["lat"], from_b["lng"], from_b["lat"]),
+        "_out": bearing(to_a["lng"], to_a["lat"], to_b["lng"], to_b["lat"]),
     })
+    marked = marked.withColumn(
+        "turn",
+        F.when(F.col("kind") != "road", F.col("kind"))
+        .when(F.col("_was").isNull(), "start")
+        .when((F.col("_was") != "road") | ~F.col("_bent"), "straight")
+        .otherwise(turn_type(F.col("_in"), F.col("_out"))),
+    )
     marked = marked.withColumn("group_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     grouped = marked.groupBy("route_id", "group_no").agg(
         F.min_by(F.struct("kind", "name", "turn"), "step_no").alias("f"), F.sum("length_m").alias("length_m"),
