@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -14,6 +15,7 @@ from placewise.llm.rows import add_columns
 
 # The vocabulary's way of cutting texts into words; white space as Unicode defines it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N}]+"
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"  # the same on lower-case ASCII
 WORD_END = "</w>"
 _MOST_CACHED = 400_000
 _NEVER = np.iinfo(np.int64).max
@@ -46,21 +48,23 @@ class Bpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self.letters = _byte_letters()
-        self.find = regex.compile(WORD_PATTERN).findall
+        self.find, self.find_ascii = regex.compile(WORD_PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.merged = [c for _, _, c in pairs]
         self.rank, self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1), np.full(size, -1)
         for r, (a, b, c) in enumerate(pairs):
-            self.ranks.setdefault((a, b), (r, c))
+            self.ranks.setdefault((a, b), r)
             if self.rank[c] < 0:
                 self.rank[c], self.left[c], self.right[c] = r, a, b
         self.size = size
         keys = np.array([a * size + b for a, b in self.ranks], np.int64)
         order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.ranks.values()], np.int64)[order]
-        self.usable = self._usable(pairs)
-        self.longest = max(len(t) for t in vocab)
+        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.ranks.values()), np.int64)[order]
+        usable = self._usable(pairs)
+        self.proposed = {token: i for token, i in vocab.items() if usable[i]}
+        self.longest = max(map(len, self.proposed))
         self.words: dict[str, bytes] = {}
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,26 +105,33 @@ class Bpe:
         return out
 
     def _propose(self, letters: str) -> list[int]:
-        out, i, n = [], 0, len(letters)
+        out, i, n, get, longest = [], 0, len(letters), self.proposed.get, self.longest
+        ended = letters + WORD_END
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                token = self.ids.get(letters[i:j] if j < n else letters[i:] + WORD_END)
-                if token is not None and self.usable[token]:
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+            token = get(ended[i:]) if n - i <= longest else None
+            j = n
+            while token is None:
+                j = min(j - 1, i + longest)
+                if j == i:
+                    raise ValueError("the vocabulary lacks a byte")
+                token = get(letters[i:j])
             out.append(token)
             i = j
         return out
 
     def merge_exactly(self, letters: str) -> list[int]:
-        """Merge by rank, leftmost first."""
+        """Merge by rank, leftmost first; only the ranks beside a merge change."""
         parts = [self.ids[c] for c in letters[:-1]] + [self.ids[letters[-1] + WORD_END]]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(p, (_NEVER, 0))[0], i) for i, p in enumerate(zip(parts, parts[1:])))
-            if rank == _NEVER:
-                break
-            parts[at : at + 2] = [self.ranks[parts[at], parts[at + 1]][1]]
+        get = self.ranks.get
+        ranks = [get(p, _NEVER) for p in zip(parts, parts[1:])]
+        while ranks and (rank := min(ranks)) != _NEVER:
+            i = ranks.index(rank)
+            parts[i : i + 2] = [self.merged[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), _NEVER)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), _NEVER)
         return parts
 
     def learn(self, words: list[str]) -> None:
@@ -150,8 +161,10 @@ class Bpe:
                 if i % 2:
                     found.append(part)
                 else:
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                    found += self.find(part)
+                    if part.isascii():
+                        found += self.find_ascii(part.lower())
+                    else:
+                        found += self.find(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
             cut.append(found)
             new.update(dict.fromkeys(found))
         for token, i in self.special.items():
