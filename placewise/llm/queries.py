@@ -89,21 +89,23 @@ def op5_secrets(spark, folder):
 @query
 def op6_bpe(spark, folder):
     """Every document encoded, and its ids decoded."""
-    from placewise.llm.bpe import decode_bpe, encode_bpe, id_lists
+    from placewise.llm.bpe import encode_bpe, id_lists, load_bpe
     from placewise.llm.rows import add_columns
 
     path = vocabulary("word_bpe_49k.json")
-    coded = encode_bpe(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text")
 
     def digest(column):
+        """Read from the ids alone."""
         from hashlib import sha256
 
-        lists = id_lists(column)
-        return [[len(x) for x in lists], [sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists]]
+        lists, decode = id_lists(column), load_bpe(path).decode
+        return [
+            [len(x) for x in lists], [sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists], [sha256(decode(x).encode()).hexdigest() for x in lists],
+        ]
 
-    counted = add_columns(coded, "ids", [("n_tokens", T.LongType()), ("ids_sha256", T.StringType())], digest, arrow=True)
-    decoded = decode_bpe(counted, path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode_bpe(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text")
+    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    return add_columns(coded, "ids", fields, digest, arrow=True).drop("ids")
 
 
 @query
@@ -122,3 +124,38 @@ def op9_quality(spark, folder):
 
     judged = judge_quality(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+@query
+def op3_decontaminate(spark, folder):
+    """Every benchmark item that a document holds."""
+    from placewise.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op4_repeated_passages(spark, folder):
+    """Passages of 50 words or more that documents share, exactly or nearly."""
+    from placewise.llm.substring_dedup import near_duplicate_passages
+
+    return near_duplicate_passages(table(spark, folder, "documents"))
+
+
+@query
+def op7_near_duplicates(spark, folder):
+    """Groups of documents with similar 3-word shingles."""
+    from placewise.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), k=3, percent=85)
+
+
+@query
+def op10_language_model(spark, folder):
+    """Log10 probabilities of all documents under a model of nine tenths of them."""
+    from placewise.llm.ngram_lm import is_held_out, score_documents, train_bigrams
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = train_bigrams(docs.where(~is_held_out("doc_id")))
+    scored = score_documents(docs, model).withColumn("held_out", is_held_out("doc_id")).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
