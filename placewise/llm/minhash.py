@@ -1,8 +1,9 @@
 """MinHash near-duplicates: one-permutation hashing with optimal densification, banded buckets, star-shaped candidates, exact checks.
 
-Sets of word shingles are compared; equal sets are one set from the start, so a group of copies is one row. Candidate links are stars
-around a bucket's smallest set. What the stars leave open (two sets of a bucket that are not yet in one group) is then checked pair by
-pair, each pair once, so no link between sets that share a bucket is lost, and a large group that the stars have joined makes no pairs.
+Sets of word shingles are compared; equal sets are one set from the start, so a group of copies is one row. Candidate links are stars: a
+bucket's sets are compared with its most central one, the one that shares most buckets with others. Where a small bucket still holds
+sets of different groups, all those pairs are compared. In a large one further stars around other sets follow, round by round, as long
+as a round finds a link. So every round has at most one candidate a set and bucket, whatever a bucket's size.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from placewise.tables import materialize
 
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
+SMALL = 16  # sets in a bucket whose open pairs are all compared
 _PROBES = 24
 
 
@@ -96,6 +98,11 @@ def _pair(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def _stars(shared: DataFrame, hubs: DataFrame, where="true") -> DataFrame:
+    """Pairs (a, b) of each set with its buckets' hubs."""
+    return shared.join(hubs, ["band", "value"]).where("set_id <> hub").where(where).select(*_pair("set_id", "hub")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose full sets have a similarity of ``percent`` or more."""
     left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("a_members"), F.size("members").alias("a_size"))
@@ -115,7 +122,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     the smallest key that can be reached, kept tells the row with that key. A repeated key with different texts joins their groups' rows
     by the texts, each row by its own; of repeated rows with one key all are kept. Rows with a null key are single: component_id null, kept.
 
-    Candidates share a band of ``ROWS`` of ``BINS`` values; at a similarity of 0.85 a link is missed with a probability of 3e-7 (0.8: 6e-5).
+    Candidates share a band of ``ROWS`` of ``BINS`` values; at a similarity of 0.85 two sets share none with a probability of 3e-7 (0.8: 6e-5).
+    In buckets of more than ``SMALL`` sets, two sets that are similar to each other but to no hub of any round can stay apart.
     """
     fields = [("n_shingles", T.LongType()), ("low", T.LongType()), ("high", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
@@ -124,33 +132,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sets = materialize(usable.groupBy("n_shingles", "low", "high").agg(F.min("key").alias("set_id"), F.first("bands").alias("bands")))
 
     buckets = sets.select("set_id", F.posexplode("bands").alias("band", "value"))
-    hubs = buckets.groupBy("band", "value").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = buckets.join(hubs, ["band", "value"]).where("set_id <> hub").select(*_pair("set_id", "hub")).distinct()
-    stars = materialize(stars)
-    # The members of shared buckets: only their sets are needed in full.
-    open_ids = materialize(stars.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    counts = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(buckets.join(counts, ["band", "value"]))
+    open_ids = materialize(shared.groupBy("set_id").agg(F.sum("n").alias("degree")))
+    # Only the sets that share a bucket are needed in full.
     texts = source.where("key is not null").join(open_ids, source["key"] == open_ids["set_id"], "left_semi")
     fields = [*fields[:3], ("members", T.ArrayType(T.LongType()))]
     full = add_columns(texts, "body", fields, _members(k), arrow=True).drop("body").withColumnRenamed("key", "set_id")
     named = sets.select("set_id", *_NAME)  # a repeated key may have another text
     members = materialize(full.join(named, ["set_id", *_NAME]).select("set_id", "members").dropDuplicates(["set_id"]))
 
-    links = materialize(_verified(stars, members, percent))
-    groups = connected_components(links, open_ids.withColumnRenamed("set_id", "id"))
-    # Pairs of one bucket that the stars have not settled, each in the first band that both share.
-    grouped = sets.join(groups.withColumnRenamed("id", "set_id"), "set_id").select("set_id", "component", "bands")
-    placed = grouped.select("set_id", "component", "bands", F.posexplode("bands").alias("band", "value"))
-    mixed = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value")
-    rest = materialize(placed.join(mixed, ["band", "value"]).select("set_id", "component", "bands", "band", "value"))
-    # Members meet the bucket's other components first, then only those components' members: nothing is compared inside a component.
-    beyond = rest.select("band", "value", F.col("component").alias("o_component")).distinct()
-    facing = rest.join(beyond, ["band", "value"]).where("component < o_component")
-    other = rest.select("band", "value", F.col("set_id").alias("o_id"), F.col("component").alias("o_component"), F.col("bands").alias("o_bands"))
-    first_shared = F.array_position(F.zip_with("bands", "o_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-    crossing = facing.join(other, ["band", "value", "o_component"]).where(first_shared)
-    crossing = crossing.select(*_pair("set_id", "o_id")).join(stars, ["a", "b"], "left_anti")
-    more = materialize(_verified(crossing, members, percent))
-    groups = connected_components(links.unionByName(more), open_ids.withColumnRenamed("set_id", "id"))
+    ids = open_ids.select(F.col("set_id").alias("id"))
+    hubs = shared.join(open_ids, "set_id").groupBy("band", "value").agg(F.max(F.struct("degree", "set_id"))["set_id"].alias("hub"))
+    tested = materialize(_stars(shared, hubs))
+    links = materialize(_verified(tested, members, percent))
+    groups = connected_components(links, ids)
+    rounds = 0
+    while True:
+        rounds += 1
+        placed = shared.join(groups.withColumnRenamed("id", "set_id"), "set_id")
+        mixed = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        rest = materialize(placed.join(mixed.select("band", "value"), ["band", "value"]))
+        large = rest.where(F.col("n") > SMALL)
+        hubs = large.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(rounds)).alias("draw"), "set_id", "component")).alias("h"))
+        hubs = hubs.select("band", "value", F.col("h.set_id").alias("hub"), F.col("h.component").alias("hub_component"))
+        pairs = _stars(large, hubs, F.col("component") != F.col("hub_component"))
+        if rounds == 1:
+            small = rest.where(F.col("n") <= SMALL)
+            other = small.select("band", "value", F.col("set_id").alias("o_id"), F.col("component").alias("o_component"))
+            pairs = pairs.unionByName(small.join(other, ["band", "value"]).where("component < o_component").select(*_pair("set_id", "o_id"))).distinct()
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+        found = materialize(_verified(pairs, members, percent))
+        if found.isEmpty():
+            break
+        tested, links = tested.unionByName(pairs), links.unionByName(found)
+        groups = connected_components(links, ids)
 
     joined = described.drop("bands").join(sets.select(*_NAME, "set_id"), _NAME, "left")
     joined = joined.join(groups.withColumnRenamed("id", "set_id"), "set_id", "left")
