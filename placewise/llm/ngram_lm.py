@@ -27,7 +27,7 @@ from placewise.tables import fresh_path, materialize, shuffle_width
 BEGIN, END = (int(x) for x in mix(np.array([0xB0, 0xE0], np.uint64)))
 _LOW = np.uint64(24)  # a pair's second word keeps the upper 40 bits
 _WIDE = np.uint64(40)
-_HELD = 3_000_000  # pairs that a counting task holds before it sends them on
+_HELD = 1_000_000  # pairs that a counting task holds before it sends them on
 
 BLOCKS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 
@@ -179,7 +179,7 @@ def _count_blocks(shards: int):
     def run(batches):
         held, size = [], 0
         for whole in batches:
-            for batch in pieces(whole, 0):
+            for batch in pieces(whole, 0, 1 << 20):
                 tokens, before, _ = _tokens(batch.column(0))
                 words, many, seconds, counts = _pairs_by(before, tokens >> _LOW, np.ones(len(tokens), np.uint64))
                 held.append((*_sum_by(tokens, np.ones(len(tokens), np.uint64)), np.repeat(words, many), seconds, counts))
@@ -193,6 +193,11 @@ def _count_blocks(shards: int):
     return run
 
 
+def _blocks(table: pa.Table) -> list[list[np.ndarray]]:
+    """The arrays of a group's blocks, without copies."""
+    return [unpack(p.as_buffer()) for p in table.column("payload")]
+
+
 def _counts_of_counts(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].astype(np.int64)
 
@@ -202,7 +207,7 @@ def _merge_counts(folder: str, shards: int):
 
     def merge(key, table):
         kind, shard = (k.as_py() for k in key)
-        blocks = [unpack(p) for p in table.column("payload").to_pylist()]
+        blocks = _blocks(table)
         rows = []
         if kind == 0:
             words, counts = _sum_by(np.concatenate([b[0] for b in blocks]), np.concatenate([_widen(*b[1:4]) for b in blocks]))
@@ -238,7 +243,7 @@ def _merge_words(folder: str):
     def merge(key, table):
         shard = key[0].as_py()
         kinds = table.column("kind").to_pylist()
-        blocks = [unpack(p) for p in table.column("payload").to_pylist()]
+        blocks = _blocks(table)
         own = [b for k, b in zip(kinds, blocks) if k == 0]
         words, counts = _sum_by(np.concatenate([b[0] for b in own]), np.concatenate([_widen(*b[1:4]) for b in own]))
         after = [b for k, b in zip(kinds, blocks) if k == 2]
