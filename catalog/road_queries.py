@@ -67,6 +67,15 @@ def _(d):
     return roads.build_road_graph(_ways(d))[0]
 
 
+@query(
+    "g4_adjacency_by_cost",
+    "SELECT source AS u, target AS v, gid AS edge_id, CAST(cost AS DOUBLE) AS weight FROM usable WHERE cost >= 0 UNION ALL SELECT target, source, gid, CAST(cost AS DOUBLE) FROM usable WHERE reverse_cost >= 0",
+    "ways", {"w": WAYS_PARSED, "usable": _USABLE},
+)
+def _(d):
+    return roads.build_road_graph(_ways(d), weight="cost")[0]
+
+
 @query(
     "g4_nodes", "SELECT node_id, max_by(x, gid) AS lng, max_by(y, gid) AS lat FROM (SELECT source AS node_id, gid, c[1][1] AS x, c[1][2] AS y FROM usable UNION ALL SELECT target, gid, c[-1][1], c[-1][2] FROM usable) n GROUP BY node_id",
     "ways", {"w": WAYS_PARSED, "usable": _USABLE},

@@ -144,7 +144,7 @@ def _(d):
 def _(d):
     # Train on the parts: the label is the last word of the name, to be learned from name and type.
     words = d.part.select(F.concat_ws(" ", "p_name", "p_type").alias("text"), F.substring_index("p_name", " ", -1).alias("label"))
-    model = signs.train_categories(words, features=1 << 10, max_iter=5)
+    model = signs.train_categories(words)
     asked = d.part.select(
         F.col("p_partkey").alias("image_id"), F.when(F.col("p_partkey") % 10 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name")).alias("texts"),
         F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.concat_ws(" ", "p_name", "p_type")).alias("class_text"),

@@ -178,6 +178,14 @@ def _(d):
     return nested.select("id", F.array_join(shown, "|").alias("images"))
 
 
+@query(
+    "f10_public_images_flat",
+    "SELECT store_id, CAST(row_number() OVER (PARTITION BY store_id ORDER BY id, image) - 1 AS INTEGER) AS position, id, image FROM images WHERE state = 'public'", "images",
+)
+def _(d):
+    return S.public_images(d.images).select("store_id", "position", "id", "image")
+
+
 @query("f11_pending", "SELECT id, store_id, CAST(date_up AS TIMESTAMP) AS date_up FROM approvals WHERE status = 'pending'", "approvals")
 def _(d):
     return S.pending(d.approvals).select("id", "store_id", "date_up")
@@ -205,6 +213,47 @@ def _(d):
     return tiers.select("id", "level", "high_quality", "representative", "priority")
 
 
+_TIERS = f"""SELECT r.*, CASE WHEN {any_of('lower(category_name)', S.MAP_LEVELS[1])} THEN 1 WHEN {any_of('lower(category_name)', S.MAP_LEVELS[2])} THEN 2
+ WHEN {any_of('lower(category_name)', S.MAP_LEVELS[3])} THEN 3 ELSE 4 END AS level, rating_avg >= 3.5 AND rating_count >= 1 AS high_quality,
+ row_number() OVER (PARTITION BY category_id ORDER BY (id * 17) % 13 DESC, id) = 1 AS representative FROM rated r"""
+_FOCUS = "(id IN (3, 50, 77) OR EXISTS (SELECT 1 FROM stores t WHERE t.id = 120 AND t.lng = lv.lng AND t.lat = lv.lat))"
+_PRIORITY = "CAST((CASE WHEN high_quality OR representative THEN 100 ELSE 50 END - level * 10) AS BIGINT) * 100000 + id"
+
+
+@query(
+    "f15_map_tiers_focus",
+    f"""SELECT id, CAST(level AS INTEGER) AS level, CASE WHEN {_FOCUS} THEN 99999999 ELSE {_PRIORITY} END AS priority FROM lv
+ WHERE {_FOCUS} OR (level <= 1 AND (high_quality OR representative))""",
+    "stores reviews categories", {"rated": RATED, "lv": _TIERS},
+)
+def _(d):
+    spot = d.stores.where("id = 120").select("lng", "lat").first()
+    tiers = S.map_tiers(rated(d).withColumn("seq", F.col("id")), zoom=11.0, selected=[3, 50], hovered=[77], route_points=[(spot.lng, spot.lat)] if spot else [])
+    return tiers.select("id", "level", "priority")
+
+
+@query(
+    "f15_map_tiers_filtered", f"SELECT id, CAST(level AS INTEGER) AS level, {_PRIORITY} AS priority FROM lv",
+    "stores reviews categories", {"rated": RATED, "lv": _TIERS},
+)
+def _(d):
+    return S.map_tiers(rated(d).withColumn("seq", F.col("id")), zoom=11.0, filtered=True).select("id", "level", "priority")
+
+
+_MINE = "s.id IN (SELECT store_id FROM favorites WHERE user_id % 5 = 2)"
+for _name, _where, _options in (
+    ("f8_favorites_alone", _MINE, {"favorites_only": True}),
+    ("f8_categories_alone", "s.category_id IN (1, 2, 3)", {"categories": [1, 2, 3]}),
+    ("f8_favorites_and_categories", f"s.category_id IN (1, 2, 3) AND {_MINE}", {"categories": [1, 2, 3], "favorites_only": True}),
+    ("f8_no_filter", "TRUE", {}),
+):
+
+    @query(_name, f"SELECT s.id, s.name FROM stores s WHERE {_where}", "stores favorites")
+    def _(d, options=_options):
+        shared = d.favorites.where("user_id % 5 = 2").withColumn("user_id", F.lit(7).cast("bigint"))
+        return S.display_filter(d.stores, shared, user_id=7, **options).select("id", "name")
+
+
 @query(
     "a3_category_representatives",
     "SELECT category_id, id AS store_id FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY (id * 17) % 13 DESC, id) AS n FROM stores) x WHERE n = 1", "stores",
@@ -353,6 +402,23 @@ def _(d):
     return R.take_per_label(d.part.select(F.col("p_brand").alias("label"), F.col("p_name").alias("text"), F.col("p_partkey").alias("seq")), 20)
 
 
+# Far more rows than a task's share, null and repeated orders' neighbours included, and an order that is text.
+_LABELLED = """SELECT l_returnflag AS label, CASE WHEN l_orderkey % 1000 = 0 AND l_linenumber = 1 THEN NULL ELSE printf('%012d', l_orderkey * 10 + l_linenumber) END AS seq,
+ l_orderkey * 10 + l_linenumber AS line FROM lineitem WHERE l_linenumber > 1 OR l_orderkey % 1000 <> 0 OR l_orderkey = 1000"""
+
+
+@query(
+    "w5_take_per_label_large",
+    "SELECT label, seq, line FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq NULLS FIRST) AS n FROM labelled) x WHERE n <= 5000", extra={"labelled": _LABELLED},
+)
+def _(d):
+    rows = d.lineitem.where("l_linenumber > 1 or l_orderkey % 1000 <> 0 or l_orderkey = 1000")
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    missing = (F.col("l_orderkey") % 1000 == 0) & (F.col("l_linenumber") == 1)
+    rows = rows.select(F.col("l_returnflag").alias("label"), F.when(~missing, F.lpad(line.cast("string"), 12, "0")).alias("seq"), line.alias("line"))
+    return R.take_per_label(rows, 5000)
+
+
 @query("o1_order_by", "SELECT id, user_id, store_id, rating FROM reviews", "reviews")
 def _(d):
     return S.order_by(d.reviews, "created_at", desc=True).select("id", "user_id", "store_id", "rating")
@@ -403,6 +469,18 @@ def _(d):
     return dedupe.check_duplicates(_candidates(d), d.stores)
 
 
+@query(
+    "p1_matched_stores",
+    f"""SELECT m.candidate_id, s.id AS store_id, s.name AS store_name, s.address AS store_address, m.score, m.decision, m.rank FROM matches m
+ JOIN (SELECT id AS place_id, {norm('name')} AS norm, lng, lat FROM stores) p ON p.place_id = m.store_id
+ JOIN (SELECT *, {norm('name')} AS norm FROM stores) s ON s.norm = p.norm AND s.lng = p.lng AND s.lat = p.lat""",
+    "stores", {"places": _PLACES, "candidates": _CANDIDATES, "matches": _MATCHES},
+)
+def _(d):
+    found = dedupe.matched_stores(dedupe.check_duplicates(_candidates(d), d.stores), d.stores)
+    return found.select("candidate_id", "store_id", "store_name", "store_address", "score", "decision", "rank")
+
+
 @query(
     "p1_a6_overall_decisions",
     """SELECT c.candidate_id, CASE max(CASE m.decision WHEN 'reject' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'reject' WHEN 1 THEN 'warning' ELSE 'accept' END AS decision,

@@ -465,11 +465,12 @@ def _(d):
     return d.spark.read.schema("id long, address_raw string, address_normalized string").json(path).select("id", "address_normalized")
 
 
-@query("s8_corpus_round_trip", "SELECT name AS text, CAST(category_id AS VARCHAR) AS label FROM stores", "stores")
+@query("s8_corpus_round_trip", "SELECT text, lang AS label FROM documents")
 def _(d):
-    from placewise.plans.corpus import write_corpus
+    """Texts with line breaks and quotes, written and read back."""
+    from placewise.plans.corpus import read_corpus, write_corpus
     from placewise.tables import fresh_path
 
     path = fresh_path(d.spark)
-    write_corpus(d.stores.select(F.col("name").alias("text"), F.col("category_id").cast("string").alias("label")), path)
-    return d.spark.read.schema("text string, label string").csv(path, header=True)
+    write_corpus(d.documents.select("text", F.col("lang").alias("label")), path)
+    return read_corpus(d.spark, path)

@@ -141,12 +141,50 @@ STREET_ALIASES = {
     "đường số 1": "Đường Số 1",
     "đường số 2": "Đường Số 2",
 }
-# Keys the facet parser does not know.
-NOT_IN_FACETS = [
-    "nguyen van cu noi dai", "nguyễn văn cừ nd", "nguyen van cu", "nguyễn văn cự", "nguyễn văn cữ", "văn cử",
-    "văn cự", "nvc", "cach mang thang 8", "nguyen van linh", "mau than", "tran hung dao", "hung vuong",
-    "hoa binh", "tran van hoai", "ly tu trong", "vo van kiet", "nguyen trai", "de tham", "đường số 1", "đường số 2",
-]
+# The facet parser's own keys, in the order that decides between keys of equal length.
+FACET_STREETS = {
+    "nguyễn văn cừ nối dài": "Đường Nguyễn Văn Cừ Nối Dài",
+    "nguyễn văn cừ (nối dài)": "Đường Nguyễn Văn Cừ Nối Dài",
+    "nguyễn văn cừ": "Đường Nguyễn Văn Cừ",
+    "mậu thân": "Đường Mậu Thân",
+    "3 tháng 2": "Đường 3 Tháng 2",
+    "3/2": "Đường 3 Tháng 2",
+    "30 tháng 4": "Đường 30 Tháng 4",
+    "30/4": "Đường 30 Tháng 4",
+    "30-4": "Đường 30 Tháng 4",
+    "30 4": "Đường 30 Tháng 4",
+    "0/4": "Đường 30 Tháng 4",
+    "cách mạng tháng tám": "Đường Cách Mạng Tháng Tám",
+    "cách mạng tháng 8": "Đường Cách Mạng Tháng Tám",
+    "cmt8": "Đường Cách Mạng Tháng Tám",
+    "nguyễn văn linh": "Đường Nguyễn Văn Linh",
+    "nvl": "Đường Nguyễn Văn Linh",
+    "văn linh": "Đường Nguyễn Văn Linh",
+    "nguyễn văn": "Đường Nguyễn Văn Cừ",
+    "trần hưng đạo": "Đường Trần Hưng Đạo",
+    "trần hưng đao": "Đường Trần Hưng Đạo",
+    "hùng vương": "Đường Hùng Vương",
+    "hòa bình": "Đại lộ Hòa Bình",
+    "đại lộ hòa bình": "Đại lộ Hòa Bình",
+    "trần văn hoài": "Đường Trần Văn Hoài",
+    "đề thám": "Đường Đề Thám",
+    "lý tự trọng": "Đường Lý Tự Trọng",
+    "võ văn kiệt": "Đường Võ Văn Kiệt",
+    "nguyễn trãi": "Đường Nguyễn Trãi",
+    "hai bà trưng": "Đường Hai Bà Trưng",
+    "trần văn khéo": "Đường Trần Văn Khéo",
+    "đồng khởi": "Đường Đồng Khởi",
+    "ngô quyền": "Đường Ngô Quyền",
+    "xô viết nghệ tĩnh": "Đường Xô Viết Nghệ Tĩnh",
+    "đinh tiên hoàng": "Đường Đinh Tiên Hoàng",
+    "nguyễn an ninh": "Đường Nguyễn An Ninh",
+    "châu văn liêm": "Đường Châu Văn Liêm",
+    "quang trung": "Đường Quang Trung",
+    "trần hoàng na": "Đường Trần Hoàng Na",
+    "nguyễn việt hồng": "Đường Nguyễn Việt Hồng",
+    "lý thường kiệt": "Đường Lý Thường Kiệt",
+    "phan đình phùng": "Đường Phan Đình Phùng",
+}
 KEPT_NUMBERS = ["f4", "f5", "c4", "c6", "c10"]
 EMPTY_VALUES = ["none", "null", "unknown", "thiếu", "không có", "chưa rõ", ""]
 NINE_DISTRICTS = {
@@ -371,11 +409,7 @@ def parse_address_nine_districts(df: DataFrame, source: str, target: str) -> Dat
     return df.select(*[k for k in kept if k != target], sealed(parsed).alias(target))
 
 
-FACET_ALIASES = _longest_first({
-    key: name if name.startswith(("Đường", "Đại lộ")) else f"Đường {name}"
-    for key, name in STREET_ALIASES.items()
-    if key not in NOT_IN_FACETS
-})
+FACET_ALIASES = _longest_first(FACET_STREETS)
 
 # Here accented letters are no word characters, so a word that starts or ends with one never has a boundary there.
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"

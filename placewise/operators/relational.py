@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewise.operators.substring import contains_join
+from placewise.tables import materialize
 
 
 def with_category(stores: DataFrame, categories: DataFrame) -> DataFrame:
@@ -78,30 +79,21 @@ def recent_searches(history: DataFrame) -> DataFrame:
     return picked.select("user_id", "r.id", "r.keyword", "r.created_at")
 
 
-_LOCAL_LIMIT = 1000
-_SLICES = 1000
-
-
 def take_per_label(df: DataFrame, n: int, order: str = "seq") -> DataFrame:
-    """First ``n`` rows per label by a numeric ``order``, unique within a label.
+    """First ``n`` rows per label by any sortable ``order``, unique within a label; nulls come first.
 
-    For a small ``n`` the window keeps ``n`` rows per label and partition before the shuffle. For a large one
-    the order range of each label is sliced and counted; whole slices are kept and only the rows of the slice
-    with the n-th row are ranked, so a frequent label is never sorted in one task.
+    Rows are range-partitioned by (label, order) and counted per partition. Whole partitions are kept, and only the
+    one with a label's n-th row is ranked, so a frequent label is never sorted in one task.
     """
-    position = Window.partitionBy("label").orderBy(order)
-    if n <= _LOCAL_LIMIT:
-        return df.withColumn("_n", F.row_number().over(position)).where(F.col("_n") <= n).drop("_n")
-    ranges = df.groupBy("label").agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    width = (F.col("_high") - F.col("_low") + 1) / F.lit(_SLICES)
-    sliced = df.join(ranges, "label").withColumn("_slice", F.floor((F.col(order) - F.col("_low")) / width).cast("long")).drop("_low", "_high")
-    counts = sliced.groupBy("label", "_slice").agg(F.count("*").alias("_size"))
-    running = Window.partitionBy("label").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_upto", F.sum("_size").over(running))
-    placed = sliced.join(counts, ["label", "_slice"]).where(F.col("_upto") - F.col("_size") < n)
+    placed = materialize(df.repartitionByRange(F.col("label"), F.col(order)).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(F.col("label").alias("_label"), F.col("_part").alias("_p")).agg(F.count("*").alias("_size"))
+    running = Window.partitionBy("_label").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_upto", F.sum("_size").over(running)).where(F.col("_upto") - F.col("_size") < n)
+    placed = placed.join(counts, placed["label"].eqNullSafe(counts["_label"]) & (placed["_part"] == counts["_p"]))
     whole = placed.where(F.col("_upto") <= n)
     cut = placed.where(F.col("_upto") > n)
-    cut = cut.withColumn("_n", F.row_number().over(position)).where(F.col("_upto") - F.col("_size") + F.col("_n") <= n)
+    cut = cut.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(order)))
+    cut = cut.where(F.col("_upto") - F.col("_size") + F.col("_n") <= n)
     return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
 

@@ -72,7 +72,7 @@ def snap_requests(requests: DataFrame, ways: DataFrame) -> DataFrame:
             F.col("lng").alias(f"{e}_lng"), F.col("lat").alias(f"{e}_lat"),
             *[F.col(c).alias(f"{e}_{c}") for c in ("edge_id", "ratio", "proj_lng", "proj_lat", "error_m")],
         )
-        df = df.join(side, [f"{e}_lng", f"{e}_lat"])
+        df = df.join(side, [f"{e}_lng", f"{e}_lat"], "left")  # a request without a point keeps its row
     return df
 
 
@@ -120,26 +120,27 @@ def shortest_paths(
 
     ``starts`` and ``ends`` are link tables (query_id, node, cost, edge_id). Every round relaxes the arcs of
     the nodes improved in the round before; a node costlier than the best known arrival of its request is
-    dropped, so a request explores only the surroundings of its path. Equal costs: smallest (pred, edge).
-    ``state`` keeps cost, pred and pred_edge per (query_id, node). Every ``settle_every`` rounds the rows of
+    dropped, so a request explores only the surroundings of its path. Equal costs: fewest free arcs since the last
+    one with a length (so free arcs can make no circle), then smallest (pred, edge).
+    ``state`` keeps cost, free, pred and pred_edge per (query_id, node). Every ``settle_every`` rounds the rows of
     finished requests are set aside, so that later rounds rewrite only those still searching.
     """
     state = starts.groupBy("query_id", "node").agg(
-        F.min(F.struct("cost", F.lit(START_NODE).cast("bigint").alias("pred"), F.col("edge_id").alias("pred_edge"))).alias("b")
+        F.min(F.struct("cost", F.lit(0).alias("free"), F.lit(START_NODE).cast("bigint").alias("pred"), F.col("edge_id").alias("pred_edge"))).alias("b")
     ).select("query_id", "node", "b.*", F.lit(0).alias("round"))
     ends, adjacency = materialize(ends), materialize(adjacency)
     state, settled = materialize(state), []
     for step in range(1, max_rounds + 1):
         arrival = _arrivals(state, ends).groupBy("query_id").agg(F.min("cost").alias("_best"))
-        frontier = state.where(F.col("round") == step - 1).select("query_id", F.col("node").alias("u"), F.col("cost").alias("_cost"))
+        frontier = state.where(F.col("round") == step - 1).select("query_id", F.col("node").alias("u"), F.col("cost").alias("_cost"), F.col("free").alias("_free"))
         moved = frontier.join(adjacency, "u").join(arrival, "query_id", "left")
         cost = F.col("_cost") + F.col("weight")
         moved = moved.where(F.col("_best").isNull() | (cost < F.col("_best"))).select(
-            "query_id", F.col("v").alias("node"), cost.alias("cost"), F.col("u").alias("pred"),
+            "query_id", F.col("v").alias("node"), cost.alias("cost"), F.when(F.col("weight") > 0, 0).otherwise(F.col("_free") + 1).alias("free"), F.col("u").alias("pred"),
             F.col("edge_id").alias("pred_edge"), F.lit(step).alias("round"),
         )
         merged = state.unionByName(moved).groupBy("query_id", "node").agg(
-            F.min(F.struct("cost", "pred", "pred_edge")).alias("b"),
+            F.min(F.struct("cost", "free", "pred", "pred_edge")).alias("b"),
             F.min(F.when(F.col("round") < step, F.struct("cost", "round"))).alias("old"),
         )
         improved = F.col("old").isNull() | (F.col("b.cost") < F.col("old.cost"))
@@ -169,8 +170,10 @@ def _arrivals(state: DataFrame, ends: DataFrame) -> DataFrame:
 def trace_paths(found: DataFrame, state: DataFrame, unroll: int = 8) -> DataFrame:
     """Steps (query_id, step_no, edge_id, node) of every path in travel order, the last one to ``END_NODE``.
 
-    Walks all paths back in parallel, ``unroll`` joins per written table.
+    Walks all paths back in parallel, ``unroll`` joins per written table. A path has at most as many steps as its
+    request has nodes; a longer walk means that the state has a circle, which is an error.
     """
+    most = state.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     links = state.select("query_id", F.col("node").alias("_at"), "pred", "pred_edge")
     steps = found.select("query_id", F.lit(0).alias("back"), "edge_id", F.lit(END_NODE).cast("bigint").alias("node"), F.col("node").alias("_at"))
     written, walking = [], materialize(steps)
@@ -190,6 +193,8 @@ def trace_paths(found: DataFrame, state: DataFrame, unroll: int = 8) -> DataFram
         walking = materialize(block)
         if walking.isEmpty():
             break
+        if (len(written) - 1) * unroll > most:
+            raise RuntimeError("a path goes in a circle")
     all_steps = written[0]
     for part in written[1:]:
         all_steps = all_steps.unionByName(part)

@@ -35,12 +35,11 @@ MAP_LEVELS = {
     2: ["siêu thị", "hành chính", "tài chính", "đồ uống", "lưu trú", "cafe"],
     3: ["mua sắm", "công nghệ", "xe cộ", "giải trí"],
 }
+TOP_PRIORITY = 99999999
 SUGGESTIONS = 10
 PAGE_SIZE = 10
 # ------------------------------------------------------------------------------------------------------------
 
-IMAGES_PER_ROW = 10000
-
 
 def order_by(df: DataFrame, key: str, desc: bool = False, tie: str = "id") -> DataFrame:
     """Total order by a column; the id decides ties."""
@@ -194,22 +193,21 @@ def display_filter(
     return shown
 
 
-def with_public_images(stores: DataFrame, images: DataFrame, part_size: int = IMAGES_PER_ROW) -> DataFrame:
-    """Nest the public images of every store as an array ordered by image id.
-
-    A store with more than ``part_size`` images gets several rows (``images_part`` 0, 1, ...) that share them
-    out, so no row or task holds an unbounded list and no image is left out.
-    """
+def public_images(images: DataFrame) -> DataFrame:
+    """(store_id, position, id, image, describe) of every public image; positions count from 0 by image id."""
     public = images.where(F.col("state") == "public").select("store_id", "id", "image", "describe")
-    large = public.groupBy("store_id").agg(F.count("*").alias("_n")).where(F.col("_n") > part_size)
-    large = large.select("store_id", F.ceil(F.col("_n") / part_size).alias("_parts"))
-    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
-    nested = public.join(large, "store_id", "left").groupBy(F.col("store_id").alias("id"), part.alias("images_part")).agg(
+    order = Window.partitionBy("store_id").orderBy("id", "image")
+    return public.select("store_id", (F.row_number().over(order) - 1).alias("position"), "id", "image", "describe")
+
+
+def with_public_images(stores: DataFrame, images: DataFrame) -> DataFrame:
+    """One row per store, its public images nested as an array ordered by image id; for stores with very many images use ``public_images``."""
+    public = images.where(F.col("state") == "public")
+    nested = public.groupBy(F.col("store_id").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("id").alias("id"), "image", "describe"))).alias("images")
     )
     empty = F.array().cast("array<struct<id:bigint,image:string,describe:string>>")
-    joined = stores.join(nested, "id", "left")
-    return joined.withColumns({"images": F.coalesce("images", empty), "images_part": F.coalesce("images_part", F.lit(0))})
+    return stores.join(nested, "id", "left").withColumn("images", F.coalesce("images", empty))
 
 
 def pending(approvals: DataFrame) -> DataFrame:
@@ -242,10 +240,13 @@ def category_representatives(stores: DataFrame) -> DataFrame:
     return stores.groupBy("category_id").agg(best.alias("store_id"))
 
 
-def map_tiers(stores: DataFrame, zoom: float) -> DataFrame:
+def map_tiers(
+    stores: DataFrame, zoom: float, selected: list[int] = (), hovered: list[int] = (), route_points: list[tuple[float, float]] = (), filtered: bool = False,
+) -> DataFrame:
     """Visible stores at a zoom with their level and drawing priority.
 
-    ``stores`` needs id, seq, category_id, category_name, rating_avg, rating_count.
+    ``stores`` needs id, seq, category_id, category_name, rating_avg, rating_count, and lng, lat where route points are given. A selected or
+    hovered store and one on a route point are always shown, with the top priority; with an active filter nothing is hidden.
     """
     low = F.lower(F.coalesce("category_name", F.lit("")))
     level = F.lit(4)
@@ -259,11 +260,13 @@ def map_tiers(stores: DataFrame, zoom: float) -> DataFrame:
     }).drop("_chosen")
     prominent = F.col("high_quality") | F.col("representative")
     base = F.when(prominent, F.lit(100)).otherwise(F.lit(50)) - F.col("level") * 10
-    tiered = tiered.withColumn("priority", base.cast("long") * 100000 + F.col("id"))
-    if zoom < 12:
-        tiered = tiered.where(F.col("level") <= 1)
-    elif zoom < 14:
-        tiered = tiered.where(F.col("level") <= 3)
+    focus = [F.col("id").isin([*selected, *hovered])] if selected or hovered else []
+    focus += [(F.col("lng") == lng) & (F.col("lat") == lat) for lng, lat in route_points]
+    in_focus = reduce(lambda a, b: a | b, focus, F.lit(False))
+    tiered = tiered.withColumn("priority", F.when(in_focus, F.lit(TOP_PRIORITY)).otherwise(base.cast("long") * 100000 + F.col("id")))
+    if filtered:
+        return tiered
+    shown = F.col("level") <= (1 if zoom < 12 else 3 if zoom < 14 else 4)
     if zoom < 13:
-        tiered = tiered.where(prominent)
-    return tiered
+        shown = shown & prominent
+    return tiered.where(shown | in_focus)

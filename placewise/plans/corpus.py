@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.functions.text import fold_accents
 from placewise.operators.relational import take_per_label
+from placewise.tables import materialize
 
 # --- Fixed values -------------------------------------------------------------------------------------------
 CLEAN_SHARE, LIGHT_SHARE = 0.80, 0.10
@@ -68,16 +69,37 @@ def add_noise(text: Column, key: Column, seed: int) -> Column:
     return F.when(share < CLEAN_SHARE, text).when(share < CLEAN_SHARE + LIGHT_SHARE, light).otherwise(_heavy(text, key, seed))
 
 
-def generate_corpus(vocabulary: DataFrame, names: list[str], per_label: int, seed: int = 7, attempts: int = 4) -> DataFrame:
-    """Up to ``per_label`` unique (text, label) rows per label.
+def generate_corpus(vocabulary: DataFrame, names: list[str], per_label: int, seed: int = 7, most: int = 50) -> DataFrame:
+    """``per_label`` unique (text, label) rows per label.
 
-    ``vocabulary`` has one row per label: label, keywords, prefixes, suffixes (string arrays). ``attempts``
-    times ``per_label`` drafts are made per label in parallel; each draws one of five templates.
+    ``vocabulary`` has one row per label: label, keywords, prefixes, suffixes (string arrays). Drafts are made in
+    parallel, each by one of five templates; labels that are short draw again, twice as many, up to ``most`` times
+    ``per_label`` drafts in all. ``corpus_shortfall`` tells the labels whose words cannot make that many texts.
     """
+    kept, short, begin, end = None, vocabulary, 0, per_label * 2
+    while True:
+        drafts = _drafts(short, names, begin, end, seed)
+        drafts = drafts if kept is None else kept.unionByName(drafts)
+        kept = materialize(drafts.groupBy("label", "text").agg(F.min("seq").alias("seq")))
+        full = materialize(kept.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= per_label))
+        short = vocabulary.join(full, vocabulary["label"] == full["label"], "left_anti")
+        if end >= most * per_label or short.isEmpty():
+            return take_per_label(kept, per_label).select("text", "label")
+        begin, end = end, min(2 * end, most * per_label)
+
+
+def corpus_shortfall(made: DataFrame, vocabulary: DataFrame, per_label: int) -> DataFrame:
+    """(label, missing) of the labels with fewer than ``per_label`` rows."""
+    counts = made.groupBy("label").agg(F.count("*").alias("n"))
+    missing = (F.lit(per_label) - F.coalesce("n", F.lit(0))).alias("missing")
+    return vocabulary.select("label").join(counts, "label", "left").select("label", missing).where("missing > 0")
+
+
+def _drafts(vocabulary: DataFrame, names: list[str], begin: int, end: int, seed: int) -> DataFrame:
+    """(label, text, seq): the noisy drafts with numbers from ``begin`` to ``end`` of every label."""
     # Each label's row is spread as chunks of draft numbers, then every chunk is unrolled where it landed.
-    total = per_label * attempts
-    chunks = vocabulary.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // _CHUNK))))
-    numbers = F.sequence(F.col("_chunk") * _CHUNK, F.least((F.col("_chunk") + 1) * _CHUNK, F.lit(total)) - 1)
+    chunks = vocabulary.withColumn("_chunk", F.explode(F.sequence(F.lit(begin // _CHUNK), F.lit((end - 1) // _CHUNK))))
+    numbers = F.sequence(F.greatest(F.col("_chunk") * _CHUNK, F.lit(begin)), F.least((F.col("_chunk") + 1) * _CHUNK, F.lit(end)) - 1)
     drafts = chunks.repartition("label", "_chunk").withColumn("seq", F.explode(numbers)).drop("_chunk")
     key = F.concat_ws("/", "label", F.col("seq").cast("string"))
 
@@ -93,11 +115,18 @@ def generate_corpus(vocabulary: DataFrame, names: list[str], per_label: int, see
         .otherwise(F.concat_ws(" ", pre, kw, suf))
     )
     made = drafts.select("label", "seq", text.alias("clean"), key.alias("_key"))
-    made = made.select("label", "seq", add_noise(F.col("clean"), F.col("_key"), seed).alias("text"))
-    unique = made.where(F.length("text") >= MIN_LENGTH).groupBy("label", "text").agg(F.min("seq").alias("seq"))
-    return take_per_label(unique, per_label).select("text", "label")
+    made = made.select("label", add_noise(F.col("clean"), F.col("_key"), seed).alias("text"), "seq")
+    return made.where(F.length("text") >= MIN_LENGTH)
 
 
 def write_corpus(corpus: DataFrame, path: str, seed: int = 7) -> None:
-    """CSV with header, rows in a seeded random order."""
-    corpus.orderBy(F.xxhash64(F.lit(seed), "text", "label")).write.mode("overwrite").csv(path, header=True)
+    """CSV with header, every value quoted, rows in a seeded random order; texts may hold line breaks and quotes."""
+    rows = corpus.orderBy(F.xxhash64(F.lit(seed), "text", "label"))
+    rows.write.mode("overwrite").csv(
+        path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(text, label) of a written corpus."""
+    return spark.read.csv(path, header=True, schema="text string, label string", multiLine=True, escape='"')

@@ -12,10 +12,11 @@ BEFORE, AFTER = 50, 100
 
 def scan_gps_text(files: DataFrame) -> DataFrame:
     """(path, pattern, snippet) for every pattern found in ``content`` (binary)."""
-    # ISO-8859-1 maps bytes to characters one to one, so character positions are byte positions.
-    located = files.select("path", "content", F.decode("content", "ISO-8859-1").alias("_text")).withColumn(
-        "pattern", F.explode(F.array(*[F.lit(p) for p in GPS_PATTERNS]))
-    ).withColumn("_at", F.instr(F.col("_text"), F.col("pattern"))).where(F.col("_at") > 0)
+    # ISO-8859-1 maps bytes to characters one to one, so character positions are byte positions. Positions are found
+    # first, so that content is repeated for hits only.
+    decoded = files.select("path", "content", F.decode("content", "ISO-8859-1").alias("_text"))
+    hits = F.filter(F.array(*[F.struct(F.lit(p).alias("pattern"), F.instr(F.col("_text"), F.lit(p)).alias("at")) for p in GPS_PATTERNS]), lambda h: h["at"] > 0)
+    located = decoded.select("path", "content", F.explode(hits).alias("_hit")).select("path", "content", "_hit.pattern", F.col("_hit.at").alias("_at"))
     start = F.greatest(F.col("_at") - BEFORE, F.lit(1))
     # Undecodable bytes, such as cut characters at the edges, are dropped.
     cut = F.substring(F.col("content"), start, F.col("_at") + AFTER - start)

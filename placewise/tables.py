@@ -46,8 +46,10 @@ def materialize_split(df: DataFrame, column: str, values: list) -> dict:
     for value in values:
         try:
             tables[value] = spark.read.schema(schema).parquet(f"{path}/{column}={value}")
-        except AnalysisException:  # no row has this value
-            tables[value] = spark.createDataFrame([], schema)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            tables[value] = spark.createDataFrame([], schema)  # no row has this value
     return tables
 
 

@@ -67,3 +67,10 @@ def test_normalisation_keeps_rows_and_takes_rewritten(spark):
     got = {r.id: r.address for r in normalize_addresses(df).collect()}
     assert got == {1: "12 Nguyễn Văn Cừ, Phường An Khánh, Quận Ninh Kiều, Thành phố Cần Thơ", 2: ", , , "}
     assert normalize_addresses(df, "w").where("id = 1").first().address == "5 Lê Lợi, Phường An Hội, Quận Ninh Kiều, Thành phố Cần Thơ"
+
+
+def test_facet_alias_ties(spark):
+    """Of two keys of one length the earlier of the fixed table decides."""
+    rows = spark.createDataFrame([("hẻm văn linh mậu thân, Tân An, Ninh Kiều, Cần Thơ",), ("nguyễn trãi hùng vương, Tân An, Ninh Kiều, Cần Thơ",)], "address string")
+    got = [r.a.street_name for r in A.parse_address_facet(rows, "address", "a").collect()]
+    assert got == ["Đường Mậu Thân", "Đường Nguyễn Trãi"]

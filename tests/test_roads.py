@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.views import view
 from placewise.operators import roads
 from placewise.operators.relational import name_stops
+from tests.conftest import SMALL
 
 WAY = "gid long, source long, target long, cost double, reverse_cost double, length_m double, name string, tag_id int, geom string"
 
@@ -149,3 +151,29 @@ def test_legs_and_stop_names(spark):
     stores = spark.createDataFrame([(2, "b", 106.7, 10.0), (1, "a", 106.7, 10.0)], "id long, name string, lng double, lat double")
     ends = legs.select("route_id", (F.col("leg_no") + 1).alias("stop_no"), (F.col("leg_no") == 1).alias("last"), F.col("end_lng").alias("lng"), F.col("end_lat").alias("lat"))
     assert {r.stop_no: r.stop_name for r in name_stops(ends, stores).collect()} == {1: "a", 2: "đích"}
+
+
+def test_free_arcs_make_no_circle(spark):
+    """Arcs without length next to each other: every path is traced to its start."""
+    arcs = [(50, 10, 1, 5.0), (10, 3, 2, 0.0), (3, 10, 2, 0.0), (3, 20, 3, 5.0), (20, 21, 4, 0.0), (21, 20, 4, 0.0), (21, 3, 5, 5.0), (10, 50, 1, 5.0), (20, 3, 3, 5.0), (10, 4, 6, 0.0), (4, 3, 7, 0.0), (3, 4, 7, 0.0), (4, 10, 6, 0.0)]
+    adjacency = spark.createDataFrame(arcs, "u long, v long, edge_id long, weight double")
+    starts = spark.createDataFrame([("a", 50, 1.0, 9), ("b", 50, 1.0, 9)], "query_id string, node long, cost double, edge_id long")
+    ends = spark.createDataFrame([("a", 21, 2.0, 8), ("b", 99, 2.0, 8)], "query_id string, node long, cost double, edge_id long")
+    found, state = roads.shortest_paths(starts, ends, adjacency)
+    assert [(r.query_id, r.cost) for r in found.collect()] == [("a", 13.0)]
+    steps = roads.trace_paths(found, state).orderBy("step_no").collect()
+    assert [r.node for r in steps] == [50, 10, 3, 20, 21, -2]
+
+
+def test_a_circle_is_an_error(spark):
+    found = spark.createDataFrame([("a", 1, 8, 3.0)], "query_id string, node long, edge_id long, cost double")
+    state = spark.createDataFrame([("a", 1, 2, 5), ("a", 2, 1, 5)], "query_id string, node long, pred long, pred_edge long")
+    with pytest.raises(RuntimeError, match="circle"):
+        roads.trace_paths(found, state)
+
+
+def test_requests_without_a_point_stay(spark):
+    ways = roads.load_ways(view(spark, SMALL, "ways"))
+    requests = spark.createDataFrame([(1, 105.70, 10.0, 105.702, 10.002), (2, None, 10.0, 105.7, 10.0)], "query_id long, start_lng double, start_lat double, end_lng double, end_lat double")
+    assert {r.query_id: r.start_edge_id is None for r in roads.snap_requests(requests, ways).collect()} == {1: False, 2: True}
+    assert {r.query_id for r in roads.route_all(requests, ways).collect()} == {1}

@@ -108,3 +108,26 @@ def test_corpus(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, corpus.generate_corpus(vocabulary, ["An", "Bình"], per_label=150, seed=3).collect()))
     clean = sum("từ khóa" in r.text for r in rows) / len(rows)
     assert 0.7 < clean < 0.95
+
+
+def test_corpus_draws_until_it_is_full(spark, tmp_path):
+    """A small vocabulary reaches its target by further draws; one without enough texts is told; line breaks survive files."""
+    words = [("small", ["a b c", "d e f", "g h i"], ["Quán"], ["Ngon"]), ("one", ["chữ"], ["Q"], ["N"])]
+    vocabulary = spark.createDataFrame(words, "label string, keywords array<string>, prefixes array<string>, suffixes array<string>")
+    made = corpus.generate_corpus(vocabulary, ["An"], per_label=150, seed=3)
+    counts = {r.label: r.n for r in made.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert counts["small"] == 150
+    short = {r.label: r.missing for r in corpus.corpus_shortfall(made, vocabulary, 150).collect()}
+    assert short == {k: 150 - n for k, n in counts.items() if n < 150}
+    odd = made.unionByName(spark.createDataFrame([('a "quoted"\nline, with\ttab \\ end', "small"), ("", "small")], "text string, label string"))
+    corpus.write_corpus(odd, str(tmp_path / "corpus"))
+    back = corpus.read_corpus(spark, str(tmp_path / "corpus"))
+    assert sorted((r.text or "", r.label) for r in back.collect()) == sorted(map(tuple, odd.collect()))
+
+
+def test_take_per_label_any_order(spark):
+    rows = spark.createDataFrame([("a", None if i == 7 else f"{i:05d}") for i in range(1500)] + [(None, "x"), ("b", None)], "label string, seq string")
+    for n in (1, 1000, 1001, 5000):
+        got = sorted(map(tuple, take_per_label(rows, n).collect()), key=repr)
+        want = sorted([r for r in map(tuple, rows.collect()) if r[0] == "a"], key=lambda r: (r[1] is not None, r[1]))[:n]
+        assert got == sorted([*want, (None, "x"), ("b", None)], key=repr)
