@@ -160,7 +160,9 @@ def test_passages(spark):
     plant = {1: exact, 2: exact, 3: nearly, 4: changed, 5: short, 6: short, 7: inserted, **{i: exact for i in range(100, 140)}}
     rows = [(i, " ".join(filler(rng.randrange(200)) + plant.get(i, []) + filler(rng.randrange(200)))) for i in range(160)]
     rows += [(500, None), (501, ""), (None, " ".join(exact)), (1, "another row with this key")]
-    got = near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicate_passages(docs).collect()
+    assert sorted(got) == sorted(near_duplicate_passages(docs, hot_key=5).collect())
     named = {d for r in got for d in (r.doc_id, r.other_doc_id)}
     assert named == {1, 2, 3, 4, 7, *range(100, 140)}
     for r in got:
