@@ -27,7 +27,7 @@ from placewise.tables import fresh_path, materialize, shuffle_width
 BEGIN, END = (int(x) for x in mix(np.array([0xB0, 0xE0], np.uint64)))
 _LOW = np.uint64(24)  # a pair's second word keeps the upper 40 bits
 _WIDE = np.uint64(40)
-_HELD = 1_000_000  # pairs that a counting task holds before it sends them on
+_HELD = 2_000_000  # pairs that a counting task holds before it sends them on
 
 BLOCKS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 
