@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placewise.llm.bpe import encode_bpe
 from placewise.llm.decontamination import drop_leaking
 from placewise.llm.minhash import keep_one_of_each
-from placewise.llm.quality import STATISTICS, add_statistics, add_verdict, train_quality_forest
+from placewise.llm.quality import add_statistics, add_verdict, train_quality_forest
 from placewise.llm.queries import table, vocabulary
 from placewise.llm.secrets import redact_secrets
 from placewise.tables import materialize
@@ -17,8 +17,8 @@ from placewise.tables import materialize
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the forest keep. Null and empty texts go: they have no words."""
     forest = train_quality_forest(docs, table(spark, sf_dir, "labels"))
-    apart = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_pw_row"), F.col("text").alias("_pw_body"))  # so that no column's name can clash
-    judged = add_verdict(add_statistics(apart, "_pw_body").select("_pw_row", *STATISTICS), forest)
+    apart = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_pw_row"))  # so that no column's name can clash
+    judged = add_verdict(add_statistics(apart, "_pw_row", forest, part="text"), forest)
     return judged.where("kept").select("_pw_row.*")
 
 

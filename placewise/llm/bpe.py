@@ -17,7 +17,7 @@ from placewise.llm.rows import add_columns
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N}]+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"  # the same on lower-case ASCII
 WORD_END = "</w>"
-_MOST_CACHED = 400_000
+_MOST_CACHED = 100_000
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -188,13 +188,14 @@ def load_bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_bpe(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode_bpe(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """``docs`` with the token ids of the text in an integer array column.
 
     ``vocabulary``: path of a vocabulary file that every worker has. Null or empty text: an empty array. Special tokens written
     in a text count as themselves. Whole texts are encoded; any row order and repeated rows are fine.
     """
-    return add_columns(docs, text, [(ids, T.ArrayType(T.IntegerType()))], lambda texts: [[x.astype(np.int32) for x in load_bpe(vocabulary).encode(texts)]])
+    coded = lambda texts: [[x.astype(np.int32) for x in load_bpe(vocabulary).encode(texts)]]
+    return add_columns(docs, text, [(ids, T.ArrayType(T.IntegerType()))], coded, keep_text=keep_text)
 
 
 def decode_bpe(docs: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -227,6 +227,6 @@ def main_text(page: str) -> str:
     return "\n".join(blocks)
 
 
-def extract_main_text(pages: DataFrame, html: str = "html", text: str = "main_text") -> DataFrame:
+def extract_main_text(pages: DataFrame, html: str = "html", text: str = "main_text", keep_html: bool = True) -> DataFrame:
     """``pages`` with the main text of the whole page; null or empty html, or a page without text: an empty text."""
-    return add_columns(pages, html, [(text, T.StringType())], lambda found: [[main_text(x) for x in found]])
+    return add_columns(pages, html, [(text, T.StringType())], lambda found: [[main_text(x) for x in found]], keep_text=keep_html)

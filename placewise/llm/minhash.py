@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """
     fields = [("n_shingles", T.LongType()), ("low", T.LongType()), ("high", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
-    described = materialize(add_columns(source, "body", fields, _describe(k), arrow=True).drop("body"))
+    described = materialize(add_columns(source, "body", fields, _describe(k), arrow=True, keep_text=False))
     usable = described.where("n_shingles > 0 and key is not null")
     sets = materialize(usable.groupBy("n_shingles", "low", "high").agg(F.min("key").alias("set_id"), F.first("bands").alias("bands")))
 
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     # Only the sets that share a bucket are needed in full.
     texts = source.where("key is not null").join(open_ids, source["key"] == open_ids["set_id"], "left_semi")
     fields = [*fields[:3], ("members", T.ArrayType(T.LongType()))]
-    full = add_columns(texts, "body", fields, _members(k), arrow=True).drop("body").withColumnRenamed("key", "set_id")
+    full = add_columns(texts, "body", fields, _members(k), arrow=True, keep_text=False).withColumnRenamed("key", "set_id")
     named = sets.select("set_id", *_NAME)  # a repeated key may have another text
     members = materialize(full.join(named, ["set_id", *_NAME]).select("set_id", "members").dropDuplicates(["set_id"]))
 

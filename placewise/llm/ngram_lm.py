@@ -354,7 +354,7 @@ def is_held_out(key: Column | str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(key).cast("string") if isinstance(key, str) else key, "UTF-8")), F.lit(10)) == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame, model: BigramModel, text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model: BigramModel, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with n_tokens, n_known, base_score (smoothed word counts) and score (the model's log10 probability); perplexity is 10 ** (-score / n_tokens)."""
     fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
-    return add_columns(docs, text, fields, model.score, arrow=True)
+    return add_columns(docs, text, fields, model.score, arrow=True, keep_text=keep_text)

@@ -79,7 +79,7 @@ def op5_secrets(spark, folder):
     """Secrets in every document."""
     from placewise.llm.secrets import scan_secrets
 
-    found = scan_secrets(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    found = scan_secrets(table(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secret_spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -103,9 +103,9 @@ def op6_bpe(spark, folder):
             [len(x) for x in lists], [sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists], [sha256(decode(x).encode()).hexdigest() for x in lists],
         ]
 
-    coded = encode_bpe(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text")
+    coded = encode_bpe(table(spark, folder, "documents").select("doc_id", "text"), path, keep_text=False)
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return add_columns(coded, "ids", fields, digest, arrow=True).drop("ids")
+    return add_columns(coded, "ids", fields, digest, arrow=True, keep_text=False)
 
 
 @query
@@ -113,7 +113,7 @@ def op8_main_text(spark, folder):
     """The main text of every page."""
     from placewise.llm.html import extract_main_text
 
-    found = extract_main_text(table(spark, folder, "pages").select("page_id", "url", "html"), text="main_text")
+    found = extract_main_text(table(spark, folder, "pages").select("page_id", "url", "html"), text="main_text", keep_html=False)
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
@@ -122,7 +122,7 @@ def op9_quality(spark, folder):
     """Rule statistics and verdict of every document."""
     from placewise.llm.quality import judge_quality
 
-    judged = judge_quality(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    judged = judge_quality(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
@@ -157,5 +157,5 @@ def op10_language_model(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = train_bigrams(docs.where(~is_held_out("doc_id")))
-    scored = score_documents(docs, model).withColumn("held_out", is_held_out("doc_id")).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    scored = score_documents(docs, model, keep_text=False).withColumn("held_out", is_held_out("doc_id")).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -103,7 +103,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", spans: str = "secret_spans") -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", spans: str = "secret_spans", keep_text: bool = True) -> DataFrame:
     """``docs`` with an array column of spans (kind, start, end; code points, end exclusive).
 
     Kinds: an assignment to a secret-like name, a cloud access key, a long hex string, and an issuer's token whose embedded checksum is right.
@@ -111,12 +111,10 @@ def scan_secrets(docs: DataFrame, text: str = "text", spans: str = "secret_spans
     """
     field = [(spans, T.ArrayType(SPAN))]
     as_dicts = lambda found: [{"kind": k, "start": a, "end": b} for k, a, b in found]
-    return add_columns(docs, text, field, lambda texts: [[as_dicts(find_spans(t)) for t in texts]])
+    return add_columns(docs, text, field, lambda texts: [[as_dicts(find_spans(t)) for t in texts]], keep_text=keep_text)
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with secrets replaced in the text column; a null text stays null."""
-    from pyspark.sql import functions as F
-
-    out = add_columns(docs, text, [("_pw_redacted", T.StringType())], lambda texts: [[redact(t, find_spans(t)) for t in texts]])
-    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.col("_pw_redacted"))).drop("_pw_redacted")
+    hide = lambda column: [[t if t is None else redact(t, find_spans(t)) for t in column.to_pylist()]]
+    return add_columns(docs, text, [(text, T.StringType())], hide, arrow=True).select(*docs.columns)
