@@ -100,6 +100,15 @@ def _(d):
     return page.select("id", "rating_avg", "rating_count")
 
 
+@query(
+    "f5_next_page", "SELECT id, rating_avg, rating_count FROM rated WHERE rating_count < 12 OR (rating_count = 12 AND id > 100) ORDER BY rating_count DESC, id LIMIT 25",
+    "stores reviews categories", {"rated": RATED},
+)
+def _(d):
+    page = S.order_page(rated(d), "rating_count", ["rating_count"], size=25, desc=True, after=(12, 100))
+    return page.select("id", "rating_avg", "rating_count")
+
+
 def _without_first(x: str, phrase: str) -> str:
     return f"CASE WHEN instr({x}, '{phrase}') > 0 THEN substr({x}, 1, instr({x}, '{phrase}') - 1) || substr({x}, instr({x}, '{phrase}') + {len(phrase)}) ELSE {x} END"
 

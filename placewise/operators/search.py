@@ -70,11 +70,21 @@ def search(df: DataFrame, terms: str, fields: list[str]) -> DataFrame:
     return df
 
 
-def order_page(df: DataFrame, key: str, allowed: list[str], page: int = 1, size: int = PAGE_SIZE, desc: bool = False) -> DataFrame:
-    """One page of a whitelisted order."""
+def order_page(
+    df: DataFrame, key: str, allowed: list[str], page: int = 1, size: int = PAGE_SIZE, desc: bool = False, after: tuple | None = None,
+) -> DataFrame:
+    """One page of a whitelisted order, without null keys when ``after`` is given.
+
+    ``after`` is (key, id) of the last row seen; a task then keeps one page, however deep it is. ``page`` counts from the start and keeps all
+    rows up to the page.
+    """
     if key not in allowed:
         raise ValueError(f"cannot order by {key}")
-    return order_by(df, key, desc).offset((page - 1) * size).limit(size)
+    if after is None:
+        return order_by(df, key, desc).offset((page - 1) * size).limit(size)
+    value, last = F.lit(after[0]), F.lit(after[1])
+    beyond = F.col(key) < value if desc else F.col(key) > value
+    return order_by(df.where(beyond | ((F.col(key) == value) & (F.col("id") > last))), key, desc).limit(size)
 
 
 def search_word(keyword: Column) -> Column:

@@ -190,8 +190,10 @@ def snap_within(points: DataFrame, ways: DataFrame, tolerance: float = 0.001) ->
 def clip_to_ring(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
     """Points (lng, lat) inside a closed ring of (lng, lat) corners, by ray casting.
 
-    The ring is one boundary, so its edges are literals in a single expression; no join is needed.
+    The ring is one boundary, so its edges are literals in a single expression; no join is needed. A ring without corners holds nothing.
     """
+    if not ring:
+        return points.limit(0)
     edges = F.array(*[
         F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (*a, *b))])
         for a, b in zip(ring, [*ring[1:], ring[0]]) if a != b
@@ -204,4 +206,6 @@ def clip_to_ring(points: DataFrame, ring: list[tuple[float, float]]) -> DataFram
         )
 
     inside = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return points.where(inside)
+    # The ring's own box as a plain filter first, so that a scan can skip files.
+    boxed = points.where(x.between(min(p[0] for p in ring), max(p[0] for p in ring)) & y.between(min(p[1] for p in ring), max(p[1] for p in ring)))
+    return boxed.where(inside)
