@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from placewise.llm.minhash import keep_one_of_each, near_duplicates
 from placewise.llm.ngram_lm import is_held_out, score_documents, train_bigrams
 from placewise.llm.quality import judge_quality
 from placewise.llm.secrets import find_spans, redact
-from placewise.llm.substring_dedup import near_duplicate_passages
+from placewise.llm.substring_dedup import best_passages, near_duplicate_passages
 from tests.conftest import SMALL
 
 MIDDLE = SMALL.replace("0.001", "0.01")
@@ -172,6 +173,34 @@ def test_passages(spark):
     assert len(got) < 200
 
 
+def test_edited_passages_at_every_place():
+    fresh = iter(range(1, 10_000_000))
+
+    def shingled(words):
+        return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+    def numbers(*lists):
+        names = {}
+        return [np.array([names.setdefault(s, len(names)) for s in x], np.int32) for x in lists]
+
+    around = lambda: [next(fresh) for _ in range(80)]
+    for n in range(50, 71):
+        for place in range(n):
+            passage = [next(fresh) for _ in range(n)]
+            edited = [*passage[:place], next(fresh), *passage[place + 1 :]]
+            a, b = set(shingled(passage)), set(shingled(edited))
+            if n == 50 and place in (4, 45):  # to shingles the same as a repeat of 45 words, which is none
+                continue
+            own, other = numbers(shingled(around() + passage + around()), shingled(around() + edited + around()))
+            found = best_passages(own, other, 46, 0.8)
+            assert bool(found) == (len(a & b) / len(a | b) >= 0.8), (n, place)
+            for first, last, o_first, o_last, alike in found:
+                x, y = set(own[first : last + 1].tolist()), set(other[o_first : o_last + 1].tolist())
+                assert min(last - first, o_last - o_first) >= 45 and alike == len(x & y) / len(x | y) >= 0.8
+    short = [next(fresh) for _ in range(45)]
+    assert not best_passages(*numbers(shingled(around() + short + around()), shingled(around() + short + around())), 46, 0.8)
+
+
 def test_passages_query(spark):
     got = queries.QUERIES["op4_repeated_passages"](spark, MIDDLE).collect()
     texts = dict(documents(MIDDLE))
