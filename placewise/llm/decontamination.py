@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index of Hamming blocks, then exact weighted-shingle similarity.
 
-Every document window of an item's size class gets a 64-bit SimHash of its words. Windows start at every third word, and each item has
+Every document window of an item's size classes gets a 64-bit SimHash of its words. Windows start at every third word, and each item has
 fingerprints at every offset, so an exact copy always has a window in step with it. Four blocks of 16 bits, each looked up with up to one
 changed bit, find every item fingerprint within ``RADIUS`` bits. A candidate counts only if the item's own 5-word shingles, each weighted by the
 length of its words, are found in the document around the window up to the wanted share.
@@ -34,6 +34,16 @@ def _size_class(words: int) -> tuple[int, int]:
     return size, STEP
 
 
+def _size_classes(words: int) -> list[tuple[int, int]]:
+    """The item's own class and smaller ones, so that a window lies clean beside edits: of half its length for one edit anywhere, of a quarter where
+    more edits keep the share. What keeps a shingle keeps five words in a row."""
+    classes = [_size_class(words)]
+    for part in (words // 2, words // 4 if words >= 50 else 0):
+        if words > 5 and part:
+            classes.append(_size_class(part) if part >= 3 * STEP + 2 else (max(part, 5), 1))
+    return list(dict.fromkeys(classes))
+
+
 def _bits(hashes: np.ndarray, step: int) -> np.ndarray:
     """Running counts of set bits, after every ``step`` words (a rest is left out)."""
     whole = len(hashes) // step * step
@@ -80,9 +90,9 @@ class ItemIndex:
             sums = np.concatenate([[0.0], np.cumsum(length)])
             self.shingles.append(values)
             self.weights.append(sums[at + k] - sums[at])
-            size, step = _size_class(n)
-            prints = _fingerprints(_bits(own, 1), size, 1)
-            found.setdefault((size, step), []).append((len(self.keys), n, prints))
+            for size, step in _size_classes(n):
+                prints = _fingerprints(_bits(own, 1), size, 1)
+                found.setdefault((size, step), []).append((len(self.keys), n, prints))
             self.keys.append(key)
             self.sizes.append(n)
         self.classes = {c: self._index(members) for c, members in found.items()}

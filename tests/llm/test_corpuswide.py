@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from placewise.llm import queries
 from placewise.llm.components import connected_components
-from placewise.llm.decontamination import drop_leaking, find_leaks
+from placewise.llm.decontamination import ItemIndex, drop_leaking, find_leaks
 from placewise.llm.minhash import keep_one_of_each, near_duplicates
 from placewise.llm.ngram_lm import is_held_out, score_documents, train_bigrams
 from placewise.llm.quality import judge_quality
@@ -148,6 +148,29 @@ def test_leaks_odd_rows(spark, odd):
     assert find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_edited_leaks_of_all_lengths():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(1, 10))) for _ in range(20_000)]
+    items, docs, want = [], [], set()
+    for n in [*range(6, 101), *[20, 21, 29, 30, 42] * 60]:
+        for edits in (1, 1, 2, 3) if n > 50 else (1, 1):
+            own = rng.choices(vocab, k=n)
+            edited = own.copy()
+            for _ in range(edits):
+                at = rng.randrange(len(edited))
+                edited[at : at + rng.randrange(2)] = rng.choices(vocab, k=rng.randrange(2))
+            items.append((len(items), " ".join(own)))
+            docs.append((len(docs), " ".join(rng.choices(vocab, k=rng.randrange(5, 40)) + edited + rng.choices(vocab, k=rng.randrange(5, 40)))))
+            want |= brute_leaks(docs[-1:], items[-1:])
+    index = ItemIndex(*zip(*items))
+    got = {f[:2] for f in index.leaks(pa.array([d for _, d in docs]), 0.8)}
+    assert len(want) > 300 and not want - got
+
+
 # --- passages -----------------------------------------------------------------------------------------------
 def test_passages(spark):
     import random
