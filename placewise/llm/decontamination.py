@@ -36,12 +36,9 @@ def _size_class(words: int) -> tuple[int, int]:
 
 def _size_classes(words: int) -> list[tuple[int, int]]:
     """The item's own class and smaller ones, so that a window lies clean beside edits: of half its length for one edit anywhere, of a quarter where
-    more edits keep the share. What keeps a shingle keeps five words in a row."""
-    classes = [_size_class(words)]
-    for part in (words // 2, words // 4 if words >= 50 else 0):
-        if words > 5 and part:
-            classes.append(_size_class(part) if part >= 3 * STEP + 2 else (max(part, 5), 1))
-    return list(dict.fromkeys(classes))
+    more edits keep the share. What keeps a shingle keeps five words in a row, which hold a window of three in step."""
+    parts = [words // 2 if words >= 16 else 8 if words >= 12 else 5] * (words > 5) + [words // 4] * (words >= 50)
+    return list(dict.fromkeys([_size_class(words), *map(_size_class, parts)]))
 
 
 def _bits(hashes: np.ndarray, step: int) -> np.ndarray:
