@@ -1,7 +1,11 @@
-"""Main text of HTML pages: blocks pass points to their ancestors, the best container and its telling siblings are kept."""
+"""Main text of HTML pages: blocks pass points to their ancestors, the best container and its telling siblings are kept.
+
+A name like "sidebar" marks boilerplate, but not where the element holds the page's text.
+"""
 
 from __future__ import annotations
 
+import heapq
 import html as references
 import re
 
@@ -50,33 +54,33 @@ _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "junk", "points", "chars", "linked", "content")
+    __slots__ = ("tag", "parent", "children", "junk", "unsure", "points", "chars", "linked", "content")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool = False, content: bool = False):
-        self.tag, self.parent, self.junk, self.content = tag, parent, junk, content
+    def __init__(self, tag: str, parent: Node | None, junk: bool = False, content: bool = False, unsure: bool = False):
+        self.tag, self.parent, self.junk, self.content, self.unsure = tag, parent, junk, content, unsure
         self.children: list[Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
 
 
-def _marks(tag: str, raw: str, inside_article: bool) -> tuple[bool, bool]:
-    """(boilerplate, named as content) by tag and attributes."""
-    if tag in NEVER_TEXT:
-        return True, False
+def _marks(tag: str, raw: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """(boilerplate, named as content, boilerplate only by its name or as a form) by tag and attributes."""
+    if tag in NEVER_TEXT and tag != "form":
+        return True, False, False
     if tag == "header" and not inside_article:
-        return True, False
-    junk = content = False
+        return True, False, False
+    named, hidden, content = tag == "form", False, False
     if raw:
         for name, value in ATTRIBUTE.findall(raw):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.lower().replace(" ", "")):
-                junk = True
+                hidden = True
             elif name in ("class", "id", "role"):
                 words = set(_SPLIT.split(_HUMP.sub(" ", value).lower()))
                 if tag not in ("html", "body", "article", "main"):
-                    junk |= bool(words & JUNK_WORDS)
+                    named |= bool(words & JUNK_WORDS)
                 content |= bool(words & ARTICLE_WORDS)
-    return junk and not (content and tag in ("article", "main")), content
+    return hidden or named, content, not hidden
 
 
 def parse(page: str) -> Node:
@@ -121,8 +125,8 @@ def parse(page: str) -> Node:
                 last = node if node.tag in ends else last
                 node = node.parent
             at = last.parent if last else at
-        junk, content = _marks(tag, found[3], articles > 0)
-        node = Node(tag, at, junk, content)
+        junk, content, unsure = _marks(tag, found[3], articles > 0)
+        node = Node(tag, at, junk, content, junk and unsure)
         at.children.append(node)
         if tag in VOID or found[3].endswith("/") and tag not in BLOCK:
             continue
@@ -146,6 +150,49 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _settle(root: Node) -> None:
+    """Takes the mark from elements that are boilerplate by name only but hold the page's text.
+
+    The largest first: an element that is also named as content and holds more text outside of links than all that is kept without it, or any element
+    that holds ten times as much. What is marked inside of it is then judged in turn.
+    """
+    every, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        every.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and (not c.junk or c.unsure)]
+    if not any(n.unsure for n in every):
+        return
+    texts = {id(n): [0, 0] for n in every}  # all, and outside of marks
+    for node in reversed(every):
+        mine = texts[id(node)]
+        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        mine[0], mine[1] = mine[0] + own, mine[1] + own
+        if node.parent is not None and node.tag != "a":
+            up = texts[id(node.parent)]
+            up[0] += mine[0]
+            up[1] += 0 if node.junk else mine[1]
+    kept, heap = 0, []
+
+    def release(top: Node) -> None:
+        nonlocal kept
+        kept += texts[id(top)][1]
+        todo = [top]
+        while todo:
+            for child in todo.pop().children:
+                if isinstance(child, Node) and child.unsure:
+                    heapq.heappush(heap, (-texts[id(child)][0], len(texts) + len(heap), id(child), child))
+                elif isinstance(child, Node) and not child.junk:
+                    todo.append(child)
+
+    release(root)
+    while heap:
+        size, _, _, node = heapq.heappop(heap)
+        if -size > kept * (1 if node.content else 10):
+            node.junk = node.unsure = False
+            release(node)
+
+
 def _score(nodes: list[Node]) -> None:
     for node in reversed(nodes):  # children first
         own = [" ".join(c.split()) for c in node.children if isinstance(c, str)]
@@ -173,6 +220,7 @@ def _score(nodes: list[Node]) -> None:
 
 def _kept(root: Node) -> list[Node]:
     """The best container, lifted to the article around it, and siblings that score or read like it."""
+    _settle(root)
     nodes = _order(root)
     _score(nodes)
     inner = [n for n in nodes if n.tag not in ("#root", "html")]
@@ -187,7 +235,7 @@ def _kept(root: Node) -> list[Node]:
             best = up
         up = up.parent
     if best.tag in BLOCK and best.tag != "body" and best.parent is not None:
-        least, beside = max(10.0, best.points * 0.2), []
+        least, beside = best.points * 0.2, []
         for other in best.parent.children:
             if isinstance(other, Node) and not other.junk:
                 density = other.linked / max(other.chars, 1)
@@ -208,7 +256,7 @@ def main_text(page: str) -> str:
             blocks.append(line)
         current.clear()
 
-    for top in _kept(parse(page)):
+    for top in _kept(parse(page)):  # marks are settled by then
         todo: list[Node | str | None] = [top]
         while todo:
             item = todo.pop()

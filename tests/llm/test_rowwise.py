@@ -152,6 +152,20 @@ def test_main_text(page):
     assert html.main_text(page) == PAGES[page]
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "main-content has-sidebar", "post menu-open", "entry share-enabled", "layout with-sidebar"])
+def test_junk_names_around_the_article(name):
+    inner = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div class=sidebar><p>{LONG}</p></div>"
+    want = f"Title\n{LONG}\n{LONG}"
+    assert html.main_text(f"<body><div>Site</div><div class='{name}'>{inner}</div><div class=comments><p>{LONG * 3}</p></div></body>") == want
+    assert html.main_text(f"<body><form action=x><div>{inner}</div></form></body>") == want
+    assert html.main_text(f"<body><div class=sidebar><p>{LONG}</p></div><div class='{name}' hidden>{inner}</div><p>{LONG}</p></body>") == LONG
+
+
+def test_sections_with_few_points():
+    first, second = "one, two, three, four, five, six, seven, eight, nine and ten", "uno, due, tre, quattro, cinque and sei"
+    assert html.main_text(f"<body><div><div><p>{first}</p></div><div><p>{second}</p></div></div></body>") == f"{first}\n{second}"
+
+
 def test_deep_and_broken_pages():
     assert html.main_text("<div>" * 20_000 + LONG) == LONG
     assert html.main_text("</p></div><p a='>'>x</b></i>") == "x"
