@@ -3,7 +3,8 @@
 Sets of word shingles are compared; equal sets are one set from the start, so a group of copies is one row. Candidate links are stars: a
 bucket's sets are compared with its most central one, the one that shares most buckets with others. Where a small bucket still holds
 sets of different groups, all those pairs are compared. In a large one further stars around other sets follow, round by round, as long
-as a round finds a link. So every round has at most one candidate a set and bucket, whatever a bucket's size.
+as a round finds a link. What then stays open in large buckets is joined exactly: two sets similar enough share a shingle among the rarest of
+each (the prefix of the set in the order of frequency), so only sets of different groups that share such a shingle are compared.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from placewise.tables import materialize
 
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-SMALL = 16  # sets in a bucket whose open pairs are all compared
+SMALL = 16  # sets in a bucket whose open pairs are all compared; in larger ones those that share a rare shingle
+SALTS = 16  # parts of a hot shingle's holders
 _PROBES = 24
 
 
@@ -114,6 +116,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b")
 
 
+def _rare_pairs(open_rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different groups that share a shingle of their prefixes and whose sizes allow ``percent``: all that may be linked.
+
+    ``open_rows`` has set_id and component, a row a bucket. Of n shingles, n - ceil(n * percent / 100) + 1 in the order of frequency among the open
+    sets are the prefix: linked sets share one. Frequencies are those of the open sets, so what all of them hold stands last.
+    """
+    own = open_rows.select("set_id", "component").distinct().join(members, "set_id")
+    tokens = materialize(own.select("set_id", "component", F.size("members").alias("size"), F.explode("members").alias("token")))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    # Unshared shingles stand first in the order: they fill the prefix but make no pairs.
+    ranked = tokens.join(counts, "token").groupBy("set_id", "component", "size").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    prefix = F.expr(f"size - cast(ceil(size * {percent} / 100) as int) + 1 - (size - size(shared))")
+    exploded = ranked.withColumn("n", prefix).where("n > 0").select("set_id", "component", "size", (F.col("size") - F.size("shared")).alias("before"), F.posexplode(F.slice("shared", F.lit(1), F.col("n"))).alias("at", "s"))
+    # rest: shingles from this one on, in the order of frequency
+    heads = materialize(exploded.select("set_id", "component", "size", (F.col("size") - F.col("before") - F.col("at")).alias("rest"), "s.token"))
+    left = heads.select("token", F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).alias("salt"), *(F.col(c).alias(f"a_{c}") for c in ("set_id", "component", "size", "rest")))
+    right = heads.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), *(F.col(c).alias(f"b_{c}") for c in ("set_id", "component", "size", "rest")))
+    possible = (F.col("a_set_id") < F.col("b_set_id")) & (F.col("a_component") != F.col("b_component"))
+    possible &= 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+    # The first shingle that two linked sets share has enough left from there on in both; so most pairs by a family's own words fall here.
+    possible &= (100 + percent) * F.least("a_rest", "b_rest") >= percent * (F.col("a_size") + F.col("b_size"))
+    return left.join(right, ["token", "salt"]).where(possible).select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id, kept of every row.
 
@@ -123,7 +149,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     by the texts, each row by its own; of repeated rows with one key all are kept. Rows with a null key are single: component_id null, kept.
 
     Candidates share a band of ``ROWS`` of ``BINS`` values; at a similarity of 0.85 two sets share none with a probability of 3e-7 (0.8: 6e-5).
-    In buckets of more than ``SMALL`` sets, two sets that are similar to each other but to no hub of any round can stay apart.
+    All sets that share a band and are similar come into one group, in buckets of any size.
     """
     fields = [("n_shingles", T.LongType()), ("low", T.LongType()), ("high", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
@@ -164,6 +190,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
         found = materialize(_verified(pairs, members, percent))
         if found.isEmpty():
+            pairs = materialize(_rare_pairs(large, members, percent).join(tested, ["a", "b"], "left_anti"))
+            links = links.unionByName(materialize(_verified(pairs, members, percent)))
+            groups = connected_components(links, ids)
             break
         tested, links = tested.unionByName(pairs), links.unionByName(found)
         groups = connected_components(links, ids)

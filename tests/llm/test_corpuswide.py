@@ -91,6 +91,16 @@ def test_chains_and_hot_groups(spark):
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in brute_groups(rows, 5, 80).values()})
 
 
+def test_pairs_in_a_family(spark):
+    """Texts of one template are all somewhat alike, too little for a link; each has one partner. Large buckets, many groups."""
+    rows, same = [], [f"t{i}" for i in range(360)]
+    for i in range(400):
+        pair = [f"p{i}x{j}" for j in range(17)]
+        rows += [(2 * i + side, " ".join(same + pair + [f"u{i}x{side}x{j}" for j in range(25)])) for side in (0, 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {key: key // 2 * 2 for key, _ in rows}
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     got = near_duplicates(odd, k=3, percent=85).collect()
     assert len(got) == odd.count() and sum(r.doc_id is None for r in got) == 1
