@@ -159,3 +159,92 @@ def op10_language_model(spark, folder):
     model = train_bigrams(docs.where(~is_held_out("doc_id")))
     scored = score_documents(docs, model, keep_text=False).withColumn("held_out", is_held_out("doc_id")).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_vector_codes(spark, folder):
+    """Every vector as eight codebook indexes."""
+    from placewise.llm.vector_codes import encode_vectors, train_codebooks
+    from placewise.tables import materialize
+
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    books = train_codebooks(vectors)
+    coded = materialize(encode_vectors(vectors, books).select("vec_id", "label", "code", "error"))
+    by_label = materialize(coded.groupBy("label").agg(F.sum("error").alias("label_error")))
+    out = coded.join(by_label, coded["label"].eqNullSafe(by_label["label"]))
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return out.select("vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other; all values are whole numbers."""
+    steps = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS rid, vec_id, label, embedding FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "comps AS MATERIALIZED (SELECT rid, unnest(range(len(embedding))) AS pos, CAST(floor(4096 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x, len(embedding) AS dims FROM kept)",
+        f"parts AS MATERIALIZED (SELECT rid, pos // (dims // {parts}) AS p, pos % (dims // {parts}) AS d, x FROM comps)",
+        f"book0 AS MATERIALIZED (SELECT p, rid AS e, d, x AS y FROM parts WHERE rid < {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"near{r} AS MATERIALIZED (SELECT rid, p, min(s * {entries} + e) % {entries} AS e, min(s * {entries} + e) // {entries} AS s FROM "
+            f"(SELECT rid, a.p, e, CAST(sum((x - y) * (x - y)) AS BIGINT) AS s FROM parts a JOIN book{r} b ON a.p = b.p AND a.d = b.d GROUP BY ALL) t GROUP BY rid, p)"
+        )
+        if r < rounds:
+            steps.append(
+                f"book{r + 1} AS MATERIALIZED (SELECT b.p, b.e, b.d, coalesce(m.y, b.y) AS y FROM book{r} b LEFT JOIN (SELECT a.p, n.e, a.d, "
+                f"CAST(sum(x) AS BIGINT) // count(*) - CASE WHEN CAST(sum(x) AS BIGINT) % count(*) < 0 THEN 1 ELSE 0 END AS y FROM parts a JOIN near{r} n ON a.rid = n.rid AND a.p = n.p GROUP BY ALL) m "
+                f"ON m.p = b.p AND m.e = b.e AND m.d = b.d)"
+            )
+    steps.append(f"coded AS (SELECT rid, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(s) AS BIGINT) AS error FROM near{rounds} GROUP BY rid)")
+    return (
+        "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, "
+        f"(SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, d)) FROM book{rounds}) AS codebooks_sha256 FROM coded JOIN kept USING (rid)"
+    )
+
+
+ORACLES["op11_vector_codes"] = _codes_sql()
+
+
+@query
+def op12_nearest_vectors(spark, folder):
+    """The 20 nearest vectors of every twentieth vector."""
+    from placewise.llm.vector_search import nearest_vectors
+
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest_vectors(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op13_filter_audit(spark, folder):
+    """What each of five text filters removes, by source and order of the filters."""
+    from placewise.llm.filter_audit import audit_filters
+
+    return audit_filters(table(spark, folder, "documents").select("doc_id", "text", "source"), table(spark, folder, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH texts AS (SELECT d.doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, l.good, l.toxic FROM documents d LEFT JOIN
+  (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+worded AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY body) AS first_id FROM texts),
+failing AS (SELECT part, good, toxic,
+    CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS mask FROM worded),
+cells AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS o FROM letters a JOIN letters b ON b.c <> a.c JOIN letters c ON c.c NOT IN (a.c, b.c)
+  JOIN letters d ON d.c NOT IN (a.c, b.c, c.c) JOIN letters e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+bits AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+steps AS (SELECT o, step, 1 << (ascii(o[step]) - 65) AS own, CAST((SELECT sum(1 << (ascii(x) - 65)) FROM (SELECT unnest(string_split(o[:step - 1], '')) AS x) y WHERE x <> '') AS INTEGER) AS earlier FROM bits),
+counted AS (SELECT part, o, step, own,
+    sum(CASE WHEN mask & (coalesce(earlier, 0) | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(earlier, 0) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(earlier, 0) <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(earlier, 0) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(earlier, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells CROSS JOIN steps GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted"""
