@@ -120,7 +120,7 @@ def padded(column: pa.Array, dimensions: int) -> np.ndarray:
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if (sizes == dimensions).all():
-        return flat.reshape(-1, dimensions)
+        return flat.reshape(len(column), dimensions)
     out = np.zeros((len(column), dimensions))
     out[np.arange(dimensions) < sizes[:, None]] = flat
     return out

@@ -248,7 +248,7 @@ def _with_cells(rows: DataFrame, vector: str, forest: Forest, search: float | No
     return rows.mapInArrow(run, schema)
 
 
-def _top_of_bundles(queries: DataFrame, items: DataFrame, k: int, tile_rows: int) -> DataFrame:
+def _top_of_bundles(queries: DataFrame, items: DataFrame, k: int, width: int, tile_rows: int) -> DataFrame:
     """query, ids, score: for each query the ``k`` best items of its cells in each bundle, none below the query's ``floor``.
 
     Bundles with many rows on either side are cut into tiles.
@@ -274,7 +274,6 @@ def _top_of_bundles(queries: DataFrame, items: DataFrame, k: int, tile_rows: int
         order = np.argsort(right.column("cells").chunk(0).flatten().to_numpy(), kind="stable")
         right = right.take(pa.array(order)).combine_chunks()
         vectors = [t.column("vector").chunk(0) for t in (left, right)]
-        width = max(int(v.value_lengths().to_numpy(zero_copy_only=False).max()) for v in vectors)
         a, b = (padded(v, width) for v in vectors)
         ids, floor = right.column("id").to_numpy(), left.column("floor").to_numpy()
         cells, begins = np.unique(right.column("cells").chunk(0).flatten().to_numpy(), return_index=True)
@@ -369,38 +368,43 @@ def nearest_vectors(
 
     ``is_query`` is a condition on the rows of ``df`` that ask; candidates are all rows with another key. Rows whose key or vector is null, whose vector is zero or empty or
     holds null or non-finite components take no part. Shorter vectors count as filled up with zeros. Repeated rows count once; a key with several vectors is
-    a candidate, and if it asks a query, with each. The search is approximate: how many rows a query looks at is measured, so that 64 sampled queries
+    a candidate, and if it asks a query, with each (two with one score count once). The search is approximate: how many rows a query looks at is measured, so that 64 sampled queries
     find the share ``recall`` of their true neighbours. Scores are exact, and a query gets all candidates if they are no more than ``k``: queries with
     too few look further.
     """
     own = usable_vectors(df, vector)
     own = own.where(own[key].isNotNull() & F.exists(own[vector], lambda x: x != 0))
     rows = materialize(own.select(own[key].cast("long").alias("id"), own[vector].alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).distinct())
-    # Equal vectors are one item with the k + 1 smallest keys that can be among the answers.
+    # A query's own rows are found, too, so it needs as many answers more.
+    own_rows = rows.where("asks").groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    slots = k + own_rows
+    # Equal vectors are one item with the smallest keys that can be among the answers.
     first = Window.partitionBy("vector").orderBy("id")
-    items = rows.select("id", "vector").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    items = rows.select("id", "vector").withColumn("n", F.row_number().over(first)).where(F.col("n") <= slots)
     items = materialize(items.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "vector", "ids"))
     asking = rows.where("asks").select("id", "vector")
-    queries = materialize(asking.groupBy("vector").agg(F.min("id").alias("id")).select("id", "vector", F.lit(float("-inf")).alias("floor")))
+    name = F.struct(F.col("first"), F.xxhash64("vector").alias("mark"))  # a key may ask with several vectors
+    queries = asking.groupBy("vector").agg(F.min("id").alias("first")).select(name.alias("id"), "vector", F.lit(float("-inf")).alias("floor"))
+    queries = materialize(queries)
     forest = fit_forest(items, "vector", trees, leaf_rows, sample)
     indexed = materialize(_with_cells(items, "vector", forest, None))
     search, _ = measured_search(items, queries, forest, k, recall)
 
     def answers(asked: DataFrame, rows: float) -> DataFrame:
-        """query, found: up to k + 1 (far, id), nearest first."""
-        found = _top_of_bundles(materialize(_with_cells(asked, "vector", forest, rows)), indexed, k + 1, forest.bundle_rows)
-        found = found.select("query", F.explode("ids").alias("id"), "score").groupBy("query", "id").agg(F.max("score").alias("score"))
+        """query, found: up to ``slots`` of (far, id), nearest first."""
+        found = _top_of_bundles(materialize(_with_cells(asked, "vector", forest, rows)), indexed, slots, forest.normals.shape[1] - 1, forest.bundle_rows)
+        found = found.select("query", F.explode("ids").alias("id"), "score").distinct()  # an item found in several trees has one score
         best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-        found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+        found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= slots)
         return materialize(found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "id"))).alias("found")))
 
     asked, part = queries, search / 16
     if part >= 256:  # a short search first: its last answers are floors for what the long one gives back
-        floors = answers(asked, part).where(F.size("found") > k).select(F.col("query").alias("id"), (-F.col("found")[k]["far"]).alias("least"))
+        floors = answers(asked, part).where(F.size("found") >= slots).select(F.col("query").alias("id"), (-F.col("found")[slots - 1]["far"]).alias("least"))
         asked = materialize(asked.join(floors, "id", "left").select("id", "vector", F.coalesce("least", "floor").alias("floor")))
     out, whole = answers(asked, search), float(forest.counts.sum()) if forest.roots else 0.0
     while search <= whole:
-        asked = materialize(asked.join(out.where(F.size("found") > k), F.col("id") == F.col("query"), "left_anti"))
+        asked = materialize(asked.join(out.where(F.size("found") >= slots), F.col("id") == F.col("query"), "left_anti"))
         if asked.isEmpty():
             break
         search *= 16
