@@ -10,7 +10,7 @@ from catalog.registry import (
 from catalog.text_queries import NORMED, facet_address_ctes
 from placewise.functions.geo import parse_linestring, first_coord, last_coord
 from placewise.functions.formats import round_exact
-from placewise.functions.text import normalize_text, similarity, weighted_score
+from placewise.functions.text import WARNING_AT, normalize_text, similarity, weighted_score
 from placewise.operators import relational as R
 from placewise.operators import search as S
 from placewise.operators import spatial
@@ -454,6 +454,30 @@ def _(d):
     )
 
 
+_SIMILAR = f"""SELECT a.place_id AS place_a, b.place_id AS place_b, {haversine('a.lng', 'a.lat', 'b.lng', 'b.lat')} AS m,
+  {partial('a.norm', 'b.norm')} AS p, {token_set('a.norm', 'b.norm')} AS t, {ratio('a.norm', 'b.norm')} AS l
+ FROM places a JOIN places b ON a.place_id < b.place_id AND abs(a.lat - b.lat) < 0.001 AND abs(a.lng - b.lng) < 0.001 WHERE a.norm <> '' AND b.norm <> ''"""
+
+
+@query(
+    "p1_similar_pairs",
+    f"""SELECT place_a, place_b, {sql_r4(score('p', 't', 'l'))} AS score, {decision(score('p', 't', 'l'))} AS decision FROM ({_SIMILAR}) x
+WHERE m <= 15 AND {score('p', 't', 'l')} >= CAST(0.7 AS DOUBLE)""", "stores", {"places": _PLACES},
+)
+def _(d):
+    """Warnings and rejects only: a pair is scored only where a bound of its score reaches the threshold."""
+    pairs = dedupe.find_duplicate_pairs(d.stores, least=WARNING_AT)
+    return pairs.select("place_a", "place_b", r4("score").alias("score"), "decision")
+
+
+# The comparison engine would need minutes for all pairs of names; tests compare with plain Python on a small table.
+@query("p1_dense_spot")
+def _(d):
+    """Thousands of different names on one spot."""
+    pairs = dedupe.find_duplicate_pairs(d.market, least=WARNING_AT)
+    return pairs.select("place_a", "place_b", r4("score").alias("score"), "decision")
+
+
 # Candidates: every second store's name, moved by about 4 m; some blank.
 _CANDIDATES = "SELECT id * 2 AS candidate_id, CASE WHEN id % 41 = 0 THEN ' - ' ELSE concat(upper(name), CASE WHEN id % 3 = 0 THEN ' 2' ELSE '' END) END AS name, lng + 0.00003 AS lng, lat + 0.00002 AS lat FROM stores WHERE state = 'active'"
 _MATCHES = f"""SELECT candidate_id, place_id AS store_id, copies, {sql_exact('m', 2)} AS distance_m, {sql_exact('p', 4)} AS partial_ratio, {sql_exact('t', 4)} AS token_set_ratio, {sql_exact('l', 4)} AS levenshtein_ratio,
@@ -478,6 +502,16 @@ def _(d):
     return dedupe.check_duplicates(_candidates(d), d.stores)
 
 
+@query(
+    "p1_similar_matches",
+    f"""SELECT candidate_id, store_id, copies, score, decision, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY rank) AS INTEGER) AS rank FROM (SELECT *, {score('p', 't', 'l')} AS exact FROM scored) x WHERE exact >= CAST(0.7 AS DOUBLE)""",
+    "stores", {"places": _PLACES, "candidates": _CANDIDATES, "scored": _MATCHES.replace("SELECT candidate_id, place_id AS store_id", "SELECT p, t, l, candidate_id, place_id AS store_id", 1)},
+)
+def _(d):
+    matches = dedupe.check_duplicates(_candidates(d), d.stores, least=WARNING_AT)
+    return matches.select("candidate_id", "store_id", "copies", "score", "decision", "rank")
+
+
 @query(
     "p1_matched_stores",
     f"""SELECT m.candidate_id, s.id AS store_id, s.name AS store_name, s.address AS store_address, m.score, m.decision, m.rank FROM matches m

@@ -54,6 +54,12 @@ SELECT p_partkey AS id, p_partkey % 17 + 1 AS category_id,
   p_retailprice AS price
 FROM part"""
 
+# All customers' shops on one spot: two invented words each, and a third that every other one has. Some names come in near versions.
+VIEWS["market"] = """
+SELECT c_custkey AS id, CAST(105.78 + c_custkey * 0 AS DOUBLE) AS lng, CAST(10.03 + c_custkey * 0 AS DOUBLE) AS lat,
+  concat(substr(h, 1, 6 + c_custkey % 3), CASE WHEN c_custkey % 2 = 0 THEN ' quan ' ELSE ' ' END, substr(h, 11, 4 + c_custkey % 5)) AS name
+FROM (SELECT c_custkey, translate(md5(CAST(c_custkey - CASE WHEN c_custkey % 90 < 3 THEN c_custkey % 90 ELSE 0 END AS STRING)), '0123456789', 'aeiouymnpt') AS h FROM customer) AS hashed"""
+
 VIEWS["reviews"] = """
 SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS user_id, l_partkey AS store_id,
   CAST(l_quantity AS INT) % 5 + 1 AS rating, l_shipdate AS created_at

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,6 +120,78 @@ def similarity(norm_a: Column, norm_b: Column) -> Column:
     )
 
 
+# The symbols of normalised names.
+_SYMBOLS = " abcdefghijklmnopqrstuvwxyz0123456789"
+_COUNTED = 5  # bits for the count of a symbol
+_SYMBOLS_A_WORD = 12
+_PAIR_WORDS = 4
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+
+
+def _bits_of(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(_bit(F.pmod(h, F.lit(64)))))
+
+
+def name_profile(norm: Column) -> Column:
+    """What ``score_bound`` needs of a normalised name, in a few 64-bit words.
+
+    ``bag*`` has the count of each symbol as so many bits, up to five, and ``rest`` what is beyond; ``pair*`` has a bit for each pair of neighbouring symbols, by hash, and
+    ``pair_rest`` how many pairs have no bit of their own. Pairs are those of the name with a blank at both ends, so a token has the same pairs wherever it stands. ``tokens`` has a bit for each token.
+    """
+    length = F.length(norm)
+    fields, over = {}, F.lit(0)
+    for begin in range(0, len(_SYMBOLS), _SYMBOLS_A_WORD):
+        bits = F.lit(0).cast("long")
+        for place, symbol in enumerate(_SYMBOLS[begin : begin + _SYMBOLS_A_WORD]):
+            many = length - F.length(F.replace(norm, F.lit(symbol), F.lit("")))
+            kept = F.least(many, F.lit(_COUNTED))
+            bits = bits.bitwiseOR(F.shiftleft(_bit(kept) - 1, _COUNTED * place))
+            over = over + many - kept
+        fields[f"bag{begin // _SYMBOLS_A_WORD}"] = bits
+    padded = F.concat(F.lit(" "), norm, F.lit(" "))
+    pairs = F.transform(F.sequence(F.lit(1), length + 1), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, F.lit(2))), F.lit(64 * _PAIR_WORDS)))
+    for word in range(_PAIR_WORDS):
+        fields[f"pair{word}"] = _bits_of(F.filter(pairs, lambda h: F.floor(h / 64) == word))
+    fields["pair_rest"] = length + 1 - F.size(F.array_distinct(pairs))
+    fields["tokens"] = _bits_of(F.transform(tokens(norm), lambda t: F.xxhash64(t)))
+    fields |= {"rest": over, "length": length, "distinct_length": F.length(F.array_join(tokens(norm), " "))}
+    return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+
+def shared_parts(a: Column, b: Column) -> Column:
+    """(symbols, pairs): upper bounds of how many symbols and pairs two profiles share. Seal it: ``score_bound`` uses both many times."""
+
+    def shared(kind: str, words: int, rest: str) -> Column:
+        return reduce(lambda x, y: x + y, [F.bit_count(a[f"{kind}{i}"].bitwiseAND(b[f"{kind}{i}"])) for i in range(words)], F.least(a[rest], b[rest]))
+
+    return F.struct(shared("bag", -(-len(_SYMBOLS) // _SYMBOLS_A_WORD), "rest").alias("symbols"), shared("pair", _PAIR_WORDS, "pair_rest").alias("pairs"))
+
+
+def score_bound(a: Column, b: Column, shared: Column) -> Column:
+    """An upper bound of the weighted score of two names by their profiles, without any edit distance; ``shared`` is from ``shared_parts``.
+
+    An edit takes away at most one shared symbol and two shared pairs. So names of ``n`` symbols and ``n - 1`` pairs, of which ``s`` and ``p`` are shared, are at least
+    ``n - s`` and ``(n - 1 - p) / 2`` edits apart. That bounds the ratio of the whole names, of their token lists, and of the shorter name's best window. Common tokens have fewer
+    symbols than shared pairs.
+    """
+    symbols, pairs = shared["symbols"], shared["pairs"]
+
+    def most(n: Column) -> Column:
+        edits = F.greatest(n - symbols, (n - 1 - pairs) / F.lit(2.0), F.lit(0))
+        return F.greatest(F.lit(1.0) - edits / F.greatest(n, F.lit(1)), F.lit(0.0))
+
+    shorter = F.greatest(F.least(a["distinct_length"], b["distinct_length"]), F.lit(1))
+    common = F.when(a["tokens"].bitwiseAND(b["tokens"]) == 0, 0.0).otherwise(F.least(F.lit(1.0), (pairs - 1) / shorter))
+    return (
+        WEIGHT_PARTIAL * most(F.least(a["length"], b["length"]))
+        + WEIGHT_TOKEN_SET * F.greatest(most(F.greatest(a["distinct_length"], b["distinct_length"])), common)
+        + WEIGHT_LEVENSHTEIN * most(F.greatest(a["length"], b["length"]))
+    )
+
+
 def weighted_score(metrics: Column) -> Column:
     return (
         F.lit(WEIGHT_PARTIAL) * metrics["partial_ratio"]

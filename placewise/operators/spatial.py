@@ -10,7 +10,7 @@ from placewise.operators.nearest import nearest_candidates
 from placewise.tables import materialize, shuffle_width
 
 _METRES_PER_DEGREE = 111000.0  # a little less than the true value, so cells are a little too large
-_HOT_CELL = 20000
+_HOT_CELL = 500
 
 
 def _row_height(radius: float) -> float:
@@ -34,8 +34,8 @@ def radius_join(
 
     Both sides need ``lng`` and ``lat``. With ``self_id`` the sides are the same table and each pair appears
     once, smaller id on the left. Cells are at least ``radius`` high and wide, so a point meets the 3 rows of
-    cells around it. Cells holding more than ``hot_cell`` rows are cut into tiles: left and right rows are
-    spread over tile rows and columns, so no task sees a whole hot cell.
+    cells around it. A cell that more than ``hot_cell`` rows of either side meet is cut into tiles: its left and right rows are spread over
+    tile rows and columns, so a tile has about ``hot_cell`` rows of each side at most. (A stream on the left cannot be counted; then right rows alone decide.)
     """
     height = _row_height(radius)
     l = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).where("l_lng is not null and l_lat is not null")
@@ -43,31 +43,34 @@ def radius_join(
 
     r = r.withColumn("_row", F.floor(F.col("r_lat") / height).cast("long"))
     r = r.withColumn("_col", F.floor(F.col("r_lng") / _cell_width(radius, F.col("_row"))).cast("long"))
-    hot = (
-        r.groupBy("_row", "_col").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_cell)
-        .select("_row", "_col", F.ceil(F.col("_n") / hot_cell).cast("long").alias("_tiles"))
-    )
-    r = r.join(hot, ["_row", "_col"], "left").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
-
     own_row = F.floor(F.col("l_lat") / height).cast("long")
-    l = l.withColumn("_row", F.explode(F.sequence(own_row - 1, own_row + 1)))
-    width, reach = _cell_width(radius, F.col("_row")), _lng_reach(radius, F.abs(F.col("l_lat")) + height)
-    l = l.withColumn(
-        "_col",
-        F.explode(F.sequence(
+
+    def around(points: DataFrame) -> DataFrame:
+        points = points.withColumn("_row", F.explode(F.sequence(own_row - 1, own_row + 1)))
+        width, reach = _cell_width(radius, F.col("_row")), _lng_reach(radius, F.abs(F.col("l_lat")) + height)
+        return points.withColumn("_col", F.explode(F.sequence(
             F.floor((F.col("l_lng") - reach) / width).cast("long"), F.floor((F.col("l_lng") + reach) / width).cast("long")
-        )),
-    )
-    l = l.join(hot, ["_row", "_col"], "left").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+        )))
+
+    def hot(rows: DataFrame, tiles: str) -> DataFrame:
+        counted = rows.groupBy("_row", "_col").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_cell)
+        return counted.select("_row", "_col", F.ceil(F.col("_n") / hot_cell).cast("long").alias(tiles))
+
+    tiles = {"_tr_n": hot(r, "_tr_n")}
+    if not left.isStreaming:
+        tiles["_tl_n"] = hot(around(l.select("l_lng", "l_lat")), "_tl_n")
+    l = around(l)
 
     def tiled(side: DataFrame, prefix: str, own: str, other: str) -> DataFrame:
+        for counts in tiles.values():
+            side = side.join(counts, ["_row", "_col"], "left")
+        counts = {n: F.coalesce(n, F.lit(1)) if n in tiles else F.lit(1).cast("long") for n in ("_tl_n", "_tr_n")}
         mark = F.xxhash64(*[c for c in side.columns if c.startswith(prefix)])
         return side.withColumns({
-            own: F.pmod(mark, F.col("_tiles")),
-            other: F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)),
-        }).drop("_tiles")
+            own: F.pmod(mark, counts[f"{own}_n"]), other: F.explode(F.sequence(F.lit(0).cast("long"), counts[f"{other}_n"] - 1)),
+        }).drop(*tiles)
 
-    # Rows are few bytes but pairs are scored later, so the join keeps all its partitions.
+    # Rows are few bytes but pairs are scored later, so the join keeps all its partitions; tiles bound what one key can hold.
     keys = ["_row", "_col", "_tl", "_tr"]
     parts = shuffle_width(left.sparkSession)
     sides = [tiled(l, "l_", "_tl", "_tr"), tiled(r, "r_", "_tr", "_tl")]
@@ -77,7 +80,7 @@ def radius_join(
     if self_id:
         pairs = pairs.where(F.col(f"l_{self_id}") < F.col(f"r_{self_id}"))
     pairs = pairs.withColumn("distance", haversine_m(F.col("l_lng"), F.col("l_lat"), F.col("r_lng"), F.col("r_lat")))
-    return pairs.where(F.col("distance") <= radius).drop("_row", "_col", "_tl", "_tr")
+    return pairs.where(F.col("distance") <= radius).drop(*keys)
 
 
 def _segments(ways: DataFrame) -> DataFrame:

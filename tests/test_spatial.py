@@ -9,7 +9,8 @@ from placewise.functions.geo import haversine_m
 from placewise.operators.nearest import nearest_candidates, unit_sphere
 from placewise.operators.spatial import clip_to_ring, radius_join, snap_to_edges, snap_within
 from placewise.operators.substring import contains_join
-from placewise.plans.dedupe import check_duplicates, find_duplicate_pairs, overall_decisions, place_members
+from placewise.functions.text import name_profile, score_bound, shared_parts, similarity, weighted_score
+from placewise.plans.dedupe import candidate_pairs, check_duplicates, find_duplicate_pairs, overall_decisions, place_members, places
 from tests.conftest import SMALL
 
 
@@ -121,3 +122,53 @@ def test_copies_are_one_place(spark):
 def test_haversine_degenerate(spark):
     row = spark.range(1).select(haversine_m(F.lit(1.0), F.lit(2.0), F.lit(1.0), F.lit(2.0))).first()
     assert row[0] == 0.0
+
+
+def _names(n, seed):
+    """Names of few letters and words, so that many are alike; runs of one letter, repeated words, one-letter names and blank ones too."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeo1") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["aaaaaaaaaa", "quan", "b"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(n - 6)]
+    return [*names, "quan quan quan quan", "aaaaaaaa aaaaaaaa", "b", " - ", None, "Quán Quan"]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.88])
+def test_bound_loses_no_similar_pair(spark, least):
+    """All pairs of names on one spot: a bound is never below the score, and few of the other pairs are scored."""
+    stores = spark.createDataFrame([(i, name, 105.7, 10.0) for i, name in enumerate(_names(250, 2))], "id long, name string, lng double, lat double")
+    want = {(r.place_a, r.place_b): r.score for r in find_duplicate_pairs(stores).collect() if r.score >= least}
+    got = find_duplicate_pairs(stores, least=least).collect()
+    assert {(r.place_a, r.place_b): r.score for r in got} == want and len(got) == len(want) > 20
+    profiles = places(stores).where("norm <> ''").select("place_id", "norm", name_profile(F.col("norm")).alias("profile")).cache()
+    a, b = (profiles.select(*[F.col(c).alias(f"{p}_{c}") for c in profiles.columns]) for p in "ab")
+    pairs = a.crossJoin(b).withColumn("s", shared_parts(F.col("a_profile"), F.col("b_profile")))
+    pairs = pairs.select(score_bound(F.col("a_profile"), F.col("b_profile"), F.col("s")).alias("bound"), weighted_score(similarity(F.col("a_norm"), F.col("b_norm"))).alias("score"))
+    assert pairs.where("bound < score - 1e-9").count() == 0
+
+
+def test_matches_with_a_least_score(spark):
+    names = _names(80, 5)
+    stores = spark.createDataFrame([(i, name, 105.7 + i % 3 * 1e-5, 10.0) for i, name in enumerate(names)], "id long, name string, lng double, lat double")
+    asked = spark.createDataFrame([(i, name, 105.7 if i % 9 else None, 10.0) for i, name in enumerate(_names(40, 6) + names[:9])], "candidate_id long, name string, lng double, lat double")
+    kept = check_duplicates(asked, stores).where("score >= 0.7001").drop("rank").collect()
+    got = check_duplicates(asked, stores, least=0.7001).drop("rank").collect()
+    assert sorted(got) == sorted(kept) and got
+    assert check_duplicates(asked.limit(0), stores, least=0.7).count() == check_duplicates(asked, stores.limit(0), least=0.7).count() == 0
+
+
+def test_few_pairs_of_a_dense_spot_are_scored(spark):
+    """5,000 different names on one spot: all but some hundredths of the pairs end at the bound."""
+    shops = places(view(spark, SMALL, "market"))
+    rows = shops.crossJoin(spark.range(34).withColumnRenamed("id", "again")).select(F.col("place_id") * 100 + F.col("again"), F.expr("translate(md5(concat(norm, again)), '0123456789', 'aeiouymnpt')").alias("h"), "lng", "lat")
+    many = rows.toDF("place_id", "h", "lng", "lat").select("place_id", F.concat(F.substring("h", 1, 7), F.lit(" "), F.substring("h", 11, 6)).alias("norm"), "lng", "lat")
+    n = many.count()
+    assert n >= 5000
+    assert candidate_pairs(many, many, 15.0, 0.7, self_id="place_id").count() < 0.1 * n * n / 2
+
+
+def test_cells_are_cut_by_either_side(spark):
+    one = spark.createDataFrame([(1, 105.7, 10.0)], "id long, lng double, lat double")
+    many = spark.createDataFrame([(i, 105.7, 10.0 + i * 1e-8) for i in range(900)], "id long, lng double, lat double")
+    for left, right in ((one, many), (many, one), (many, many.limit(40))):
+        got = radius_join(left, right, 15.0, hot_cell=50)
+        assert got.count() == got.select("l_id", "r_id").distinct().count() == left.count() * right.count()
