@@ -1,6 +1,7 @@
 """Main text of HTML pages: blocks pass points to their ancestors, the best container and its telling siblings are kept.
 
-A name like "sidebar" marks boilerplate, but not where the element holds the page's text.
+A name like "sidebar" marks boilerplate, but not where the element holds the page's text. Names of reader comments, notices, adverts and forms always do, unless the element is also
+named as content and nothing lies beside it. Among equals the outer and earlier container is taken, and texts are kept in page order.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import heapq
 import html as references
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,38 +40,43 @@ NEVER_TEXT = frozenset(
 )
 # A part of a class, id or role that marks boilerplate.
 JUNK_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion promoted sidebar sidebars rail widget "
-    "widgets menu menus nav navbar navigation navigational breadcrumb breadcrumbs toolbar footer foot colophon masthead header topbar comment comments commentlist disqus "
+    "sidebar sidebars rail widget widgets menu menus nav navbar navigation navigational breadcrumb breadcrumbs toolbar footer foot colophon masthead header topbar "
+    "share sharing social related recommended recommendations more pagination pager search tags copyright legal skip complementary contentinfo dialog hidden".split()
+)
+# The same, for what is never the page's text whatever its length.
+NEVER_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion promoted comment comments commentlist disqus "
     "reply replies respond discussion cookie cookies consent gdpr notice notices notification alert popup popups modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations more pagination pager search tags copyright legal skip "
-    "complementary contentinfo dialog hidden shoutbox trackback trackbacks".split()
+    "subscription signup login shoutbox trackback trackbacks".split()
 )
 ARTICLE_WORDS = frozenset("article body content entry main post story text".split())
 SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+PLAIN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?(?=[\s/]|\Z)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "junk", "unsure", "points", "chars", "linked", "content")
+    __slots__ = ("tag", "parent", "children", "junk", "unsure", "never", "points", "chars", "linked", "content")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool = False, content: bool = False, unsure: bool = False):
-        self.tag, self.parent, self.junk, self.content, self.unsure = tag, parent, junk, content, unsure
+    def __init__(self, tag: str, parent: Node | None, junk: bool = False, content: bool = False, unsure: bool = False, never: bool = False):
+        self.tag, self.parent, self.junk, self.content, self.unsure, self.never = tag, parent, junk, content, unsure, never
         self.children: list[Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
 
 
-def _marks(tag: str, raw: str, inside_article: bool) -> tuple[bool, bool, bool]:
-    """(boilerplate, named as content, boilerplate only by its name or as a form) by tag and attributes."""
+def _marks(tag: str, raw: str, inside_article: bool) -> tuple[bool, bool, bool, bool]:
+    """(boilerplate, named as content, boilerplate only by its name or as a form, by a name that never is the text) by tag and attributes."""
     if tag in NEVER_TEXT and tag != "form":
-        return True, False, False
+        return True, False, False, False
     if tag == "header" and not inside_article:
-        return True, False, False
-    named, hidden, content = tag == "form", False, False
+        return True, False, False, False
+    named, never, hidden, content = tag == "form", False, False, False
     if raw:
         for name, value in ATTRIBUTE.findall(raw):
             name, value = name.lower(), value.strip("\"'")
@@ -78,20 +85,41 @@ def _marks(tag: str, raw: str, inside_article: bool) -> tuple[bool, bool, bool]:
             elif name in ("class", "id", "role"):
                 words = set(_SPLIT.split(_HUMP.sub(" ", value).lower()))
                 if tag not in ("html", "body", "article", "main"):
+                    never |= bool(words & NEVER_WORDS)
                     named |= bool(words & JUNK_WORDS)
                 content |= bool(words & ARTICLE_WORDS)
-    return hidden or named, content, not hidden
+    return hidden or named or never, content, not hidden, never
 
 
 def parse(page: str) -> Node:
-    """The page's tree; unclosed and wrongly nested tags are put right as browsers roughly do."""
+    """The page's tree; unclosed and wrongly nested tags are put right as browsers roughly do.
+
+    The time is about linear in the page's length, broken pages included: a "<" after the last ">" is text at once, an end tag whose element is not open is passed over without
+    a look at the open ones, and where very much was searched for the ends of tags in vain, quotes no longer hide a ">".
+    """
     root = at = Node("#root", None)
-    articles = 0
+    opened: Counter[str] = Counter()  # open elements by tag
+
+    def close(node: Node, up: Node) -> Node:
+        """Closes ``node`` and all around it below ``up``."""
+        while node is not up:
+            opened[node.tag] -= 1
+            node = node.parent
+        return up
+
     here = 0
-    size = len(page)
+    size, last = len(page), page.rfind(">")
+    patience = 4 * size
     while here < size:
         begin, found = page.find("<", here), None
-        while begin >= 0 and not (found := TAG.match(page, begin)):  # a stray "<" is text
+        while begin >= 0:  # a stray "<" is text
+            after = page[begin + 1 : begin + 2]
+            if begin < last or after in "!?":
+                found = (TAG if patience > 0 else PLAIN_TAG).match(page, begin)
+                if found:
+                    break
+                if after.isalpha() or after == "/":
+                    patience -= last - begin
             begin = page.find("<", begin + 1)
         text = page[here : begin if found else size]
         if text:
@@ -104,38 +132,37 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                while at is not node.parent:
-                    articles -= at.tag == "article"
-                    at = at.parent
+            if opened[tag]:
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = close(at, node.parent)
             continue
         ends, borders = IMPLIED.get(tag, (None, None))
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             node = at
             while node is not root and node.tag != "p" and (node.tag not in BLOCK):
                 node = node.parent
             if node.tag == "p":
-                at = node.parent
-        if ends:
-            node, last = at, None
-            while node is not root and node.tag not in borders:
-                last = node if node.tag in ends else last
+                at = close(at, node.parent)
+        if ends and (many := sum(opened[e] for e in ends)):
+            node, outer = at, None
+            while node is not root and node.tag not in borders and many:
+                if node.tag in ends:
+                    outer, many = node, many - 1
                 node = node.parent
-            at = last.parent if last else at
-        junk, content, unsure = _marks(tag, found[3], articles > 0)
-        node = Node(tag, at, junk, content, junk and unsure)
+            at = close(at, outer.parent) if outer else at
+        junk, content, unsure, never = _marks(tag, found[3], opened["article"] > 0)
+        node = Node(tag, at, junk, content, junk and unsure, never)
         at.children.append(node)
         if tag in VOID or found[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, here)
-            node.children.append(page[here : close.start() if close else size])
-            here = close.end() if close else size
+            end = RAW_ENDS[tag].search(page, here)
+            node.children.append(page[here : end.start() if end else size])
+            here = end.end() if end else size
             continue
-        articles += tag == "article"
+        opened[tag] += 1
         at = node
     return root
 
@@ -153,8 +180,9 @@ def _order(root: Node) -> list[Node]:
 def _settle(root: Node) -> None:
     """Takes the mark from elements that are boilerplate by name only but hold the page's text.
 
-    The largest first: an element that is also named as content and holds more text outside of links than all that is kept without it, or any element
-    that holds ten times as much. What is marked inside of it is then judged in turn.
+    The largest first: an element that is also named as content and holds more text outside of links than all that is kept without it; one that holds ten times as
+    much, if what is kept has no article or main element with text; and one with a name of comments, notices, adverts or forms only if it is also named as content and nothing
+    is kept without it. What is marked inside of a freed element is then judged in turn.
     """
     every, todo = [], [root]
     while todo:
@@ -172,14 +200,16 @@ def _settle(root: Node) -> None:
             up = texts[id(node.parent)]
             up[0] += mine[0]
             up[1] += 0 if node.junk else mine[1]
-    kept, heap = 0, []
+    kept, told, heap = 0, False, []
 
     def release(top: Node) -> None:
-        nonlocal kept
+        nonlocal kept, told
         kept += texts[id(top)][1]
         todo = [top]
         while todo:
-            for child in todo.pop().children:
+            node = todo.pop()
+            told |= node.tag in ("article", "main") and texts[id(node)][1] > 0
+            for child in node.children:
                 if isinstance(child, Node) and child.unsure:
                     heapq.heappush(heap, (-texts[id(child)][0], len(texts) + len(heap), id(child), child))
                 elif isinstance(child, Node) and not child.junk:
@@ -188,7 +218,11 @@ def _settle(root: Node) -> None:
     release(root)
     while heap:
         size, _, _, node = heapq.heappop(heap)
-        if -size > kept * (1 if node.content else 10):
+        if node.never:
+            free = node.content and not kept
+        else:
+            free = -size > kept if node.content else -size > 10 * kept and not told
+        if free:
             node.junk = node.unsure = False
             release(node)
 
@@ -276,5 +310,8 @@ def main_text(page: str) -> str:
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", text: str = "main_text", keep_html: bool = True) -> DataFrame:
-    """``pages`` with the main text of the whole page; null or empty html, or a page without text: an empty text."""
+    """``pages`` with the main text of the whole page; null or empty html, or a page without text: an empty text.
+
+    All other columns and all rows stay, repeated ones too; a column with the new one's name is replaced. A page is held by one task as a whole, in time about linear in its length.
+    """
     return add_columns(pages, html, [(text, T.StringType())], lambda found: [[main_text(x) for x in found]], keep_text=keep_html)

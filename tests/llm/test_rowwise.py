@@ -1,6 +1,7 @@
 """Row by row operators against plain Python on whole tables, and on odd rows."""
 
 import re
+import time
 from collections import Counter
 from hashlib import sha256
 
@@ -171,6 +172,42 @@ def test_deep_and_broken_pages():
     assert html.main_text("</p></div><p a='>'>x</b></i>") == "x"
 
 
+COMMENTS = "I think, as others said, that this is so, and more. " * 24
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><p>{LONG}</p></article><div class=comments>{COMMENTS}</div>", LONG),
+    (f"<article><p>{LONG}</p><section class='user-comments'><p>{COMMENTS}</p></section></article>", LONG),
+    (f"<div class='cookie-notice'><p>{COMMENTS}</p></div><div><p>{LONG}</p></div>", LONG),
+    (f"<main><p>{LONG}</p></main><div class='promo content'><p>{COMMENTS}</p></div><form class=signup><p>{COMMENTS}</p></form>", LONG),
+    (f"<article><p>{LONG}</p></article><div class='sidebar'><p>{COMMENTS * 5}</p></div>", LONG),
+    (f"<div class='post comments-open'><p>{LONG}</p></div>", LONG),
+])
+def test_no_comments_for_the_article(page, want):
+    assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize("page, size", [
+    ("<a " * 300_000, 899_999), ("<div>" * 8000 + "</b>" * 100_000, 0), ("<p>" + "<span>" * 50_000 + "<hr>" * 50_000, 0), ("<a \" " * 99_999 + "\">\"", 1),
+    ("<ul>" + "<li>x" * 50_000, 99_999), ("<ul><li>" * 20_000, 0), ("<!--" * 200_000, 0), ("<table>" + "<tr><td>x" * 50_000, 99_999),
+])
+def test_broken_pages_take_linear_time(page, size):
+    began = time.process_time()
+    assert len(html.main_text(page)) == size
+    assert time.process_time() - began < 5
+
+
+def test_pages_of_odd_rows(spark):
+    pages = [(1, None, "a"), (2, "", "b"), (3, f"<p>{LONG}</p>", None), (3, f"<p>{LONG}</p>", None), (None, "<nav>menu</nav>", "c"), (4, f"<p>{LONG}</p><p>{LONG}</p>", "d"), (5, "<b" * 100_000, "e")]
+    df = spark.createDataFrame(pages, "page_id long, html string, MAIN_TEXT string").repartition(3)
+    made = html.extract_main_text(df)
+    assert made.columns == ["page_id", "html", "main_text"]
+    got = sorted(((r.page_id or 0, r.main_text) for r in made.collect()), key=repr)
+    assert got == sorted([(0, ""), (1, ""), (2, ""), (3, LONG), (3, LONG), (4, f"{LONG}\n{LONG}"), (5, "<b" * 100_000)], key=repr)
+    assert html.extract_main_text(df, keep_html=False).columns == ["page_id", "main_text"]
+    assert html.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_pages_query(spark):
     import html as references
 
