@@ -20,6 +20,8 @@ from placewise.llm.words import _WORD_FACTORS, byte_set, mix, runs
 
 RADIUS = 7  # four blocks with one changed bit each, and three more bits
 STEP = 3
+_WIDEST = 40_000  # words of a window, so that bit counts fit in 16 bits
+_SPAN = STEP << 15  # words whose windows are made at once, so that a very long text takes no more memory
 _LETTERS = byte_set(bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 _FLIPS = np.array([0, *(1 << i for i in range(16))], np.uint16)
 
@@ -29,7 +31,7 @@ def _size_class(words: int) -> tuple[int, int]:
     if words < STEP + 2:
         return words, 1
     size = STEP
-    while (wider := STEP * max(size // STEP + 1, round(size * 1.45 / STEP))) <= words - STEP + 1:
+    while (wider := STEP * max(size // STEP + 1, round(size * 1.45 / STEP))) <= min(words - STEP + 1, _WIDEST):
         size = wider
     return size, STEP
 
@@ -93,6 +95,14 @@ class ItemIndex:
             self.keys.append(key)
             self.sizes.append(n)
         self.classes = {c: self._index(members) for c, members in found.items()}
+        self.lengths = np.array(self.sizes, np.int64)
+        self.shingle_words = np.minimum(self.lengths, 5)
+        self.totals = np.array([w.sum() for w in self.weights])
+        self.by_length = {}  # all items' shingles and their weights; equal shingles weigh alike
+        for k in set(self.shingle_words.tolist()):
+            every = [np.concatenate([x[i] for i in np.flatnonzero(self.shingle_words == k)]) for x in (self.shingles, self.weights)]
+            known, at = np.unique(every[0], return_index=True)
+            self.by_length[k] = known, every[1][at]
 
     @staticmethod
     def _index(members):
@@ -126,31 +136,51 @@ class ItemIndex:
         both = np.unique(np.column_stack([np.concatenate(at), np.concatenate(to)]), axis=0) if at else np.zeros((0, 2), np.int64)
         return both[:, 0], item[both[:, 1]], offset[both[:, 1]]
 
+    def _stretches(self, words) -> tuple[np.ndarray, ...]:
+        """(text, item, low, high, begin) of the stretches around all windows near an item's fingerprint, each once."""
+        found = []
+        longest = max((size for size, _ in self.classes), default=0)
+        for span in range(0, len(words.hashes), _SPAN):
+            own = words.hashes[span : span + _SPAN + longest]
+            counts = {step: _bits(own, step) for step in {s for _, s in self.classes}}
+            for size, step in self.classes:
+                windows = _fingerprints(counts[step], size, step)[: _SPAN // step]
+                starts = span + np.arange(len(windows)) * step
+                owner = np.searchsorted(words.first, starts, "right") - 1
+                inside = np.flatnonzero(starts + size <= words.first[owner + 1])  # not across two texts
+                at, items, offsets = self.candidates(windows[inside], (size, step))
+                found.append(np.column_stack([owner[inside[at]], items, starts[inside[at]] - offsets]))
+        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        text, item, begin = found.T
+        n = self.lengths[item]
+        low = np.maximum(begin - 2 - n // 10, words.first[text])
+        return text, item, low, np.minimum(begin + n + 2 + n // 10, words.first[text + 1]), np.maximum(begin, words.first[text])
+
     def leaks(self, texts: pa.Array, least: float):
-        """(text number, item number, first word, words, similarity) of the best place of each item in each text."""
+        """(text number, item number, first word, words, similarity) of the best place of each item in each text.
+
+        A stretch's shingles that any item has are summed up beforehand, for all stretches at once; only where that sum reaches the wanted share of the stretch's own item
+        are the two sets compared.
+        """
         words = runs(pc.utf8_lower(texts.cast(pa.large_string())), _LETTERS)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        counts = {step: _bits(words.hashes, step) for step in {s for _, s in self.classes}}
-        checked: set[tuple[int, int, int]] = set()
-        for (size, step), _ in self.classes.items():
-            windows = _fingerprints(counts[step], size, step)
-            starts = np.arange(len(windows)) * step
-            owner = np.searchsorted(words.first, starts, "right") - 1
-            inside = np.flatnonzero(starts + size <= words.first[owner + 1])  # not across two texts
-            at, items, offsets = self.candidates(windows[inside], (size, step))
-            for w, i, o in zip(inside[at].tolist(), items.tolist(), offsets.tolist()):
-                text, begin = int(owner[w]), w * step - o
-                if (text, i, begin) in checked:
-                    continue
-                checked.add((text, i, begin))
-                n, slack = self.sizes[i], 2 + self.sizes[i] // 10
-                low, high = max(begin - slack, int(words.first[text])), min(begin + n + slack, int(words.first[text + 1]))
-                there = np.isin(self.shingles[i], _windows(words.hashes[low:high], min(5, n)))
+        text, item, low, high, begin = self._stretches(words)
+        for k, (known, weights) in self.by_length.items():
+            own = np.flatnonzero(self.shingle_words[item] == k)
+            if not len(own):
+                continue
+            hashes = _windows(words.hashes, k)
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            sums = np.concatenate([[0.0], np.cumsum(np.where(known[at] == hashes, weights[at], 0.0))])
+            first, last = low[own], np.maximum(high[own] - k + 1, low[own])
+            own = own[(sums[last] - sums[first]) * (1 + 1e-9) >= least * self.totals[item[own]]]
+            for t, i, a, b, place in zip(*(x[own].tolist() for x in (text, item, low, high, begin))):
+                there = np.isin(self.shingles[i], hashes[a : max(b - k + 1, a)])
                 similarity = float(self.weights[i][there].sum() / self.weights[i].sum())
-                known = best.get((text, i))
-                place = max(begin, int(words.first[text])) - int(words.first[text])
-                if similarity >= least and (known is None or (-similarity, place) < (-known[0], known[1])):
-                    best[text, i] = (similarity, place, n)
+                place -= int(words.first[t])
+                earlier = best.get((t, i))
+                if similarity >= least and (earlier is None or (-similarity, place) < (-earlier[0], earlier[1])):
+                    best[t, i] = (similarity, place, self.sizes[i])
         return [(text, i, place, n, s) for (text, i), (s, place, n) in sorted(best.items())]
 
 
