@@ -100,13 +100,28 @@ def _(d):
     return page.select("id", "rating_avg", "rating_count")
 
 
-@query(
-    "f5_next_page", "SELECT id, rating_avg, rating_count FROM rated WHERE rating_count < 12 OR (rating_count = 12 AND id > 100) ORDER BY rating_count DESC, id LIMIT 25",
-    "stores reviews categories", {"rated": RATED},
-)
+# Prices of every seventh store are missing.
+_PRICED = "SELECT id, CASE WHEN id % 7 = 3 THEN NULL ELSE price END AS price FROM stores"
+
+
+def _priced(d):
+    return d.stores.select("id", F.when(F.col("id") % 7 != 3, F.col("price")).alias("price"))
+
+
+@query("f5_next_page", "SELECT id, price FROM priced ORDER BY price DESC NULLS LAST, id LIMIT 25 OFFSET 40", "stores", {"priced": _PRICED})
 def _(d):
-    page = S.order_page(rated(d), "rating_count", ["rating_count"], size=25, desc=True, after=(12, 100))
-    return page.select("id", "rating_avg", "rating_count")
+    """The third page of 20 and a bit more, after the last row of the second one."""
+    stores = _priced(d)
+    last = S.order_page(stores, "price", ["price"], page=2, size=20, desc=True).collect()[-1]
+    return S.order_page(stores, "price", ["price"], size=25, desc=True, after=(last.price, last.id)).select("id", "price")
+
+
+@query("f5_null_pages", "SELECT id, price FROM priced ORDER BY price NULLS FIRST, id LIMIT 40 OFFSET 10", "stores", {"priced": _PRICED})
+def _(d):
+    """Pages that begin among the null keys and go on beyond them."""
+    stores = _priced(d)
+    last = S.order_page(stores, "price", ["price"], size=10).collect()[-1]
+    return S.order_page(stores, "price", ["price"], size=40, after=(last.price, last.id)).select("id", "price")
 
 
 def _without_first(x: str, phrase: str) -> str:

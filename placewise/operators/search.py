@@ -73,18 +73,22 @@ def search(df: DataFrame, terms: str, fields: list[str]) -> DataFrame:
 def order_page(
     df: DataFrame, key: str, allowed: list[str], page: int = 1, size: int = PAGE_SIZE, desc: bool = False, after: tuple | None = None,
 ) -> DataFrame:
-    """One page of a whitelisted order, without null keys when ``after`` is given.
+    """One page of a whitelisted order; rows with a null key stand first, or last if ``desc``.
 
-    ``after`` is (key, id) of the last row seen; a task then keeps one page, however deep it is. ``page`` counts from the start and keeps all
-    rows up to the page.
+    ``after`` is (key, id) of the last row seen, its key may be null; a task then keeps one page, however deep it is. ``page`` counts from the start and keeps all
+    rows up to the page. Both give the same pages.
     """
     if key not in allowed:
         raise ValueError(f"cannot order by {key}")
     if after is None:
         return order_by(df, key, desc).offset((page - 1) * size).limit(size)
-    value, last = F.lit(after[0]), F.lit(after[1])
-    beyond = F.col(key) < value if desc else F.col(key) > value
-    return order_by(df.where(beyond | ((F.col(key) == value) & (F.col("id") > last))), key, desc).limit(size)
+    value, last = after
+    tied = F.col(key).eqNullSafe(F.lit(value)) & (F.col("id") > F.lit(last))
+    if value is None:
+        beyond = F.lit(False) if desc else F.col(key).isNotNull()
+    else:
+        beyond = F.col(key).isNull() | (F.col(key) < F.lit(value)) if desc else F.col(key) > F.lit(value)
+    return order_by(df.where(beyond | tied), key, desc).limit(size)
 
 
 def search_word(keyword: Column) -> Column:

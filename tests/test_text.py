@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions import contact, formats, text
 from placewise.functions.columns import sealed
+from placewise.operators.search import order_page
 
 # a, b, partial, token set, edit distance, score (4 decimals), decision
 PAIRS = [
@@ -81,3 +82,20 @@ def test_broken_extraction_falls_back(spark):
     df = spark.createDataFrame(rows, "a string, r string").select(contact.coerce_extraction(F.col("a"), F.col("r")).alias("x")).select("x.*")
     got = [tuple(r) for r in df.collect()]
     assert got == [(["A"], ["s"], []), ([], ["left over"], []), ([], [], []), ([], ["t"], ["o"])]
+
+
+@pytest.mark.parametrize("desc", [False, True])
+def test_pages_by_number_and_by_last_row_agree(spark, desc):
+    """Null keys, ties and a page that ends among either."""
+    rows = [(i, None if i % 5 == 0 else float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, score double")
+    seen, after = [], None
+    for page in range(1, 9):
+        by_number = order_page(df, "score", ["score"], page=page, size=6, desc=desc).collect()
+        by_last = order_page(df, "score", ["score"], size=6, desc=desc, after=after).collect()
+        assert by_number == by_last
+        seen += by_last
+        after = (by_last[-1].score, by_last[-1].id) if by_last else after
+    assert sorted(r.id for r in seen) == list(range(40))
+    with pytest.raises(ValueError):
+        order_page(df, "id", ["score"])
