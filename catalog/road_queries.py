@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from catalog.registry import bearing, haversine, query, r4, sql_r4
@@ -9,6 +11,7 @@ from catalog.store_queries import WAYS_PARSED
 from placewise.functions.geo import parse_linestring
 from placewise.operators import roads
 from placewise.operators.relational import name_stops
+from placewise.operators.road_index import build_road_index, indexed_paths
 from placewise.operators.spatial import snap_to_edges, snap_within
 from placewise.tables import materialize
 
@@ -124,9 +127,9 @@ _DIST = """dist(query_id, node, cost) USING KEY (query_id, node) AS (SELECT quer
 
 def _searched(d):
     (starts, ends), snapped, ways = _links(d)
-    adjacency = roads.build_road_graph(ways)[0]
-    found, state = roads.shortest_paths(starts, ends, adjacency)
-    return found, state, starts, ends, adjacency
+    graph = roads.build_road_graph(ways)
+    found, state = indexed_paths(starts, ends, build_road_index(*graph, landmarks=0))
+    return found, state, starts, ends, graph[0]
 
 
 @query("g6_shortest_paths", _COST_SQL, "route_requests ways", _COSTS)
@@ -134,6 +137,28 @@ def _(d):
     return _searched(d)[0].select("query_id", r4("cost").alias("cost"))
 
 
+def _wide(ctes: dict[str, str]) -> dict[str, str]:
+    """The same for long requests on the roads with an island."""
+    return {n: re.sub(r"\bways\b", "wide_ways", text.replace("route_requests", "long_requests")) for n, text in ctes.items()}
+
+
+@query("g6_long_routes", _COST_SQL, "long_requests wide_ways", _wide(_COSTS))
+def _(d):
+    """Routes through the whole grid with landmarks; those to the island have no row."""
+    ways = roads.load_ways(d.wide_ways)
+    snapped = materialize(roads.snap_requests(d.long_requests, ways))
+    starts, ends = roads.virtual_links(snapped.where("start_edge_id <> end_edge_id"), ways)
+    index = build_road_index(*roads.build_road_graph(ways), cell_nodes=500)
+    return indexed_paths(starts, ends, index)[0].select("query_id", r4("cost").alias("cost"))
+
+
+@query("g6_relaxed_paths", _COST_SQL, "route_requests ways", _COSTS)
+def _(d):
+    """The same costs by relaxing all requests' arcs round by round, without an index."""
+    (starts, ends), snapped, ways = _links(d)
+    return roads.shortest_paths(starts, ends, roads.build_road_graph(ways)[0])[0].select("query_id", r4("cost").alias("cost"))
+
+
 @query("g7_traced_costs", _COST_SQL, "route_requests ways", _COSTS)
 def _(d):
     """The cost of every traced path, added up step by step."""
@@ -156,10 +181,11 @@ def _use_recursion(name: str) -> None:
 
     text = ORACLES[name]
     cut = text.rindex("\nSELECT f.query_id")
-    ORACLES[name] = "WITH RECURSIVE " + text[len("WITH "):cut] + ", " + _DIST + text[cut:]
+    dist = _DIST if name != "g6_long_routes" else _DIST.replace(" WHERE d.cost + a.weight <= 6000", "")
+    ORACLES[name] = "WITH RECURSIVE " + text[len("WITH "):cut] + ", " + dist + text[cut:]
 
 
-for _name in ("g6_shortest_paths", "g7_traced_costs"):
+for _name in ("g6_shortest_paths", "g6_relaxed_paths", "g6_long_routes", "g7_traced_costs"):
     _use_recursion(_name)
 
 

@@ -137,6 +137,23 @@ SELECT c_custkey AS query_id,
   CAST(10 + (floor(c_custkey / {GRID}) + c_custkey * 11 % 4) * 0.001 + 0.0004 AS DOUBLE) AS end_lat
 FROM customer"""
 
+# The roads and, far from them, an island.
+VIEWS["wide_ways"] = """
+SELECT * FROM ways
+UNION ALL
+SELECT 900000000 + r_regionkey AS gid, 900000000 + r_regionkey AS source, 900000001 + r_regionkey AS target, CAST(1 AS DOUBLE) AS cost, CAST(1 AS DOUBLE) AS reverse_cost,
+  CAST(100 AS DOUBLE) AS length_m, 'Đảo' AS name, 100 AS tag_id,
+  concat('{"type":"LineString","coordinates":[[', CAST(CAST(106.2 + r_regionkey * 0.001 AS DECIMAL(9, 4)) AS STRING), ',10.0],[', CAST(CAST(106.201 + r_regionkey * 0.001 AS DECIMAL(9, 4)) AS STRING), ',10.0]]}') AS geom
+FROM region"""
+
+# From one end of the grid to the other; every fifth one to the island.
+VIEWS["long_requests"] = f"""
+SELECT CAST(n_nationkey AS BIGINT) AS query_id,
+  CAST(105.7 + (n_nationkey * 7 % {GRID}) * 0.001 + 0.0003 AS DOUBLE) AS start_lng, CAST(10 + (n_nationkey % 4) * 0.001 + 0.0001 AS DOUBLE) AS start_lat,
+  CAST(CASE WHEN n_nationkey % 5 = 4 THEN 106.2024 ELSE 105.7 + (n_nationkey * 11 % {GRID}) * 0.001 + 0.0001 END AS DOUBLE) AS end_lng,
+  CAST(CASE WHEN n_nationkey % 5 = 4 THEN 10.0001 ELSE 10 + (last_row - 1 - n_nationkey % 3) * 0.001 + 0.0004 END AS DOUBLE) AS end_lat
+FROM nation JOIN (SELECT CAST(floor(max(p_partkey) / {GRID}) AS BIGINT) AS last_row FROM part) AS m ON last_row >= 0"""
+
 VIEWS["points"] = """
 SELECT query_id AS point_id, start_lng AS lng, start_lat AS lat FROM route_requests
 UNION ALL
@@ -184,7 +201,7 @@ SELECT conv_id AS sign_id, turn, concat('sign ', CAST(conv_id AS STRING)) AS rem
     ELSE '{"SERVICE": ["only service"]}' END AS answer
 FROM conversations"""
 
-_NEEDS = {"points": ["route_requests"]}
+_NEEDS = {"points": ["route_requests"], "wide_ways": ["ways"]}
 
 
 def _with_needs(names: list[str]) -> list[str]:
