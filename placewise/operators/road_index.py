@@ -11,8 +11,10 @@ from __future__ import annotations
 import heapq
 import logging
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ LOG = logging.getLogger(__name__)
 START_NODE = -1
 _STATE, _CROSSING, _ARRIVAL = 0, 1, 2
 _LEVELS = 20
+_FIRST_ARCS = 12  # of mean length: how far the first round goes
 _SLACK = 1e-9  # sums along a path and landmark distances may differ in the last bits
 _ENTRY = "struct<cost:double,free:int,pred:bigint,edge:bigint,node:bigint>"
 
@@ -39,31 +42,23 @@ class RoadIndex:
 
 
 def assign_cells(nodes: DataFrame, most: int) -> DataFrame:
-    """node_id, cell: squares of the nodes' extent, cut in four until none holds more than ``most`` nodes; nodes on one spot are dealt by id."""
+    """node_id, cell: squares of the nodes' extent, cut in four until none holds more than ``most`` nodes; nodes in one smallest square are dealt by id."""
     x, y = F.coalesce("lng", F.lit(0.0)), F.coalesce("lat", F.lit(0.0))
     spots = nodes.select("node_id", x.alias("x"), y.alias("y"))
-    box = spots.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span")).first()
-    if box.span is None:
+    box = spots.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"), F.count("*").alias("n")).first()
+    if not box.n:
         return nodes.select("node_id", F.lit("").alias("cell"))
-    done, open_ = [], spots
-    for level in range(_LEVELS + 1):
-        size = box.span / (1 << level) or 1.0
-        at = [F.floor((F.col(c) - F.lit(getattr(box, c))) / F.lit(size)).cast("long") for c in ("x", "y")]
-        open_ = materialize(open_.withColumns({"cx": at[0], "cy": at[1]}))
-        full = materialize(open_.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > most))
-        name = F.concat_ws("/", F.lit(level), "cx", "cy")
-        done.append(open_.join(full, ["cx", "cy"], "left_anti").select("node_id", name.alias("cell")))
-        if full.isEmpty():
-            break
-        if level == _LEVELS:
-            bucket = F.pmod(F.xxhash64("node_id"), F.ceil(F.col("n") / most).cast("long"))
-            done.append(open_.join(full, ["cx", "cy"]).select("node_id", F.concat_ws("/", name, bucket).alias("cell")))
-            break
-        open_ = open_.join(full, ["cx", "cy"], "left_semi").select("node_id", "x", "y")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    # Squares of the levels that even very uneven nodes need; what is still full at the last one is dealt out.
+    levels = min(max((-(-box.n // most)).bit_length() + 4, 1), _LEVELS) if box.n > most else 0
+    size = F.lit(box.span or 1.0) / F.pow(F.lit(2.0), F.col("level"))
+    at = [F.floor((F.col(c) - F.lit(getattr(box, c))) / size).cast("long").alias(f"c{c}") for c in ("x", "y")]
+    listed = spots.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).select("node_id", "level", *at)
+    squares = ["level", "cx", "cy"]
+    counted = listed.groupBy(*squares).agg(F.count("*").alias("n"))
+    full = materialize(counted.where(F.col("n") > most))
+    free = listed.join(full, squares, "left").where((F.col("n").isNull()) | (F.col("level") == levels))
+    bucket = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("node_id"), F.ceil(F.col("n") / most).cast("long")))
+    return free.groupBy("node_id").agg(F.min(F.struct("level", "cx", "cy", bucket.alias("bucket"))).alias("c")).select("node_id", F.concat_ws("/", "c.level", "c.cx", "c.cy", "c.bucket").alias("cell"))
 
 
 def component_labels(arcs: DataFrame) -> DataFrame:
@@ -93,24 +88,24 @@ def component_labels(arcs: DataFrame) -> DataFrame:
     ends = [parts.select(F.col("node_id").alias(c), F.col("part").alias(n)) for c, n in (("u", "a"), ("v", "b"))]
     links = arcs.where("cell <> to_cell").select("u", "v").join(ends[0], "u").join(ends[1], "v").where("a <> b").select("a", "b")
     links = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(links.select(F.col("a").alias("part")).distinct().withColumn("label", F.col("part")))
-    while not labels.isEmpty():
+    labels = links.groupBy(F.col("a").alias("part")).agg(F.min("b").alias("label")).select("part", F.least("part", "label").alias("label"))
+    while True:
+        labels = materialize(labels)
         near = links.join(labels.select(F.col("part").alias("b"), "label"), "b").groupBy(F.col("a").alias("part")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "part").select("part", F.col("label").alias("was"), F.least("label", "near").alias("step"))
+        lower = labels.join(near, "part").select("part", "label", F.least("label", "near").alias("step"))
         jump = labels.select(F.col("part").alias("step"), F.col("label").alias("beyond"))  # where the neighbour's label points to
-        moved = materialize(lower.join(jump, "step").select("part", "was", F.least("step", "beyond").alias("label")))
+        moved = lower.join(jump, "step").select("part", F.least("step", "beyond").alias("label"), (F.least("step", "beyond") < F.col("label")).alias("moved"))
+        if moved.where("moved").isEmpty():
+            return parts.join(labels, "part", "left").select("node_id", F.coalesce("label", "part").alias("label"))
         labels = moved.select("part", "label")
-        if moved.where("label < was").isEmpty():
-            break
-    return parts.join(labels, "part", "left").select("node_id", F.coalesce("label", "part").alias("label"))
 
 
 def _by_cell(rows: DataFrame, arcs: DataFrame, most: int):
-    """Both sides grouped by cell; a cell that very many requests have entered is several groups, each with the cell's arcs."""
-    parts = materialize(rows.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")))
+    """Both sides with a part number: a cell that very many requests have entered has several parts, each with the cell's arcs."""
+    parts = rows.groupBy("cell").agg(F.ceil(F.countDistinct("query_id") / most).cast("int").alias("parts"))
     cells = arcs.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     dealt = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
-    return dealt.groupBy("cell", "part").cogroup(cells.groupBy("cell", "part"))
+    return dealt, cells
 
 
 class _Cell:
@@ -119,11 +114,13 @@ class _Cell:
     def __init__(self, arcs: pa.Table):
         self.out: dict[int, list[tuple]] = {}
         self.marks: dict[int, tuple[list[float], list[float]]] = {}
-        columns = [arcs.column(c).to_pylist() for c in ("u", "v", "cell", "to_cell", "edge_id", "weight", "v_to", "v_from")]
-        for u, v, cell, to_cell, edge, weight, to, back in zip(*columns):
-            self.out.setdefault(u, []).append((v, None if cell == to_cell else to_cell, edge, weight))
-            if to:
-                self.marks[v] = (to, back)
+        same = pc.equal(arcs.column("cell"), arcs.column("to_cell"))
+        further = pc.if_else(same, pa.scalar(None, pa.string()), arcs.column("to_cell")).to_pylist()  # null for an arc that stays
+        u, v, edge, weight = (arcs.column(c).to_pylist() for c in ("u", "v", "edge_id", "weight"))
+        for node, *arc in zip(u, v, further, edge, weight):
+            self.out.setdefault(node, []).append(arc)
+        if pc.any(pc.greater(pc.list_value_length(arcs.column("v_to")), 0)).as_py():
+            self.marks = dict(zip(v, zip(arcs.column("v_to").to_pylist(), arcs.column("v_from").to_pylist())))
 
     def least_rest(self, node: int, goals: list[dict]) -> float:
         """A lower bound for what is left from ``node`` to the cheapest goal, by the landmarks."""
@@ -138,8 +135,11 @@ class _Cell:
             least = min(least, bound + g["last"])
         return least * (1 - _SLACK)
 
-    def search(self, entries: list[dict], ends: list[dict], goals: list[dict], most: float, everything: bool):
-        """(settled rows, crossings, arrivals) of one request; nothing that costs ``most`` or more."""
+    def search(self, name: str, entries: list[dict], ends: list[dict], goals: list[dict], most: float, limit: float, everything: bool):
+        """(settled rows, crossings, arrivals) of one request; nothing that costs ``most`` or more.
+
+        What costs more than ``limit`` is left for the next round, as a crossing into this cell ``name`` itself.
+        """
         best: dict[int, tuple] = {}
         rest: dict[int, float] = {}
         arrives: dict[int, list[dict]] = {}
@@ -164,6 +164,9 @@ class _Cell:
             if row != best[node] or row[0] + rest[node] >= most:
                 continue
             cost, free = row[:2]
+            if cost > limit:
+                crossings[node] = (row, name)
+                continue
             for e in arrives.get(node, ()):
                 arrivals.append((cost + e["last"], node, e["edge"]))
                 most = min(most, cost + e["last"])
@@ -179,28 +182,37 @@ class _Cell:
         if everything:
             return best, left, arrivals
         chain: dict[int, tuple] = {}
-        for node in [*(x[0][2] for x in left.values()), *(a[1] for a in arrivals)]:
+        for node in [*(v if x[1] == name else x[0][2] for v, x in left.items()), *(a[1] for a in arrivals)]:
             while node in best and node not in chain:
                 chain[node] = best[node]
                 node = best[node][2]
         return chain, left, arrivals
 
 
-def _rounds(arcs: DataFrame, entered: DataFrame, ends: DataFrame, goals: DataFrame, bounds: DataFrame, everything: bool = False, most_requests: int = 1000) -> list[DataFrame]:
-    """The written results of all rounds: query_id, kind, cell, node, cost, free, pred, edge."""
+_AIMS = "array<struct<cell:string,node:bigint,last:double,edge:bigint,to:array<double>,from:array<double>>>"
+
+
+def _rounds(arcs: DataFrame, entered: DataFrame, aims: DataFrame, limit: float = float("inf"), everything: bool = False, most_requests: int = 2000) -> DataFrame:
+    """The results of all rounds: query_id, kind, cell, node, cost, free, pred, edge. ``aims`` has each request's ends and bound; a round is two written tables.
+
+    The first round goes as far as ``limit``, each further one twice as far as the one before, so a request does not search a whole cell for a goal that is near in another.
+    """
     query = entered.schema["query_id"].dataType
     schema = T.StructType([
         T.StructField("query_id", query), T.StructField("kind", T.IntegerType()), T.StructField("cell", T.StringType()), T.StructField("node", T.LongType()),
         T.StructField("cost", T.DoubleType()), T.StructField("free", T.IntegerType()), T.StructField("pred", T.LongType()), T.StructField("edge", T.LongType()),
     ])
 
-    def settle(requests: pa.Table, cell_arcs: pa.Table) -> pa.Table:
+    def settle(far: float, requests: pa.Table, cell_arcs: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
-        cell, out = _Cell(cell_arcs), []
-        for at, (entries, own, aims, most) in enumerate(zip(*(requests.column(c).to_pylist() for c in ("entries", "ends", "goals", "bound")))):
-            chain, crossings, arrivals = cell.search(entries, own, aims or [], most, everything)
+        if not requests.num_rows:
+            return kinds.empty_table()
+        cell, out, name = _Cell(cell_arcs), [], requests.column("cell")[0].as_py()
+        for at, (entries, aim, most) in enumerate(zip(*(requests.column(c).to_pylist() for c in ("entries", "aims", "bound")))):
+            aim = aim or []
+            chain, crossings, arrivals = cell.search(name, entries, [a for a in aim if a["cell"] == name], aim if aim and aim[0]["to"] else [], float("inf") if most is None else most, far, everything)
             out += [(at, _STATE, None, node, *row) for node, row in chain.items()]
             out += [(at, _CROSSING, to, node, *row) for node, (row, to) in crossings.items()]
             out += [(at, _ARRIVAL, None, node, cost, 0, None, edge) for cost, node, edge in arrivals]
@@ -209,29 +221,29 @@ def _rounds(arcs: DataFrame, entered: DataFrame, ends: DataFrame, goals: DataFra
         columns = list(zip(*out))
         return pa.Table.from_arrays([requests.column("query_id").take(pa.array(columns[0])), *(pa.array(c, kinds.field(i + 1).type) for i, c in enumerate(columns[1:]))], schema=kinds)
 
-    written, known, bounds = [], entered, materialize(bounds)
+    written, known, number = None, entered, 0
     while True:
-        asked = entered.groupBy("query_id", "cell").agg(F.collect_list(F.struct("cost", "free", "pred", "edge", "node").cast(_ENTRY)).alias("entries"))
-        asked = asked.join(ends, ["query_id", "cell"], "left").join(goals, "query_id", "left").join(bounds, "query_id", "left")
-        asked = materialize(asked.withColumn("bound", F.coalesce("bound", F.lit(float("inf")))))
-        out = materialize(_by_cell(asked, arcs, most_requests).applyInArrow(settle, schema))
-        written.append(out)
+        dealt, cells = _by_cell(entered, arcs, most_requests)
+        asked = dealt.groupBy("query_id", "cell", "part").agg(F.collect_list(F.struct("cost", "free", "pred", "edge", "node").cast(_ENTRY)).alias("entries"))
+        asked = asked.join(aims, "query_id", "left")
+        if written is not None:
+            arrived = written.where(F.col("kind") == _ARRIVAL).groupBy("query_id").agg(F.min("cost").alias("best"))
+            asked = asked.join(arrived, "query_id", "left").withColumn("bound", F.least("bound", "best")).drop("best")
+        reach = limit * 2**number
+        out = materialize(asked.groupBy("cell", "part").cogroup(cells.groupBy("cell", "part")).applyInArrow(partial(settle, reach), schema))
+        written, number = out if written is None else written.unionByName(out), number + 1
         crossings = out.where(F.col("kind") == _CROSSING).groupBy("query_id", "node", "cell").agg(F.min(F.struct("cost", "free", "pred", "edge")).alias("b")).select("query_id", "node", "cell", "b.*")
-        if crossings.isEmpty():
-            break
-        arrived = out.where(F.col("kind") == _ARRIVAL).select("query_id", F.col("cost").alias("bound"))
-        bounds = materialize(bounds.unionByName(arrived).groupBy("query_id").agg(F.min("bound").alias("bound")))
+        arrived = written.where(F.col("kind") == _ARRIVAL).groupBy("query_id").agg(F.min("cost").alias("best"))
         before = known.groupBy("query_id", "node").agg(F.min(F.struct("cost", "free", "pred", "edge")).alias("old"))
-        fresh = crossings.join(before, ["query_id", "node"], "left").join(bounds, "query_id", "left").where(
-            (F.col("old").isNull() | (F.struct("cost", "free", "pred", "edge") < F.col("old"))) & (F.col("bound").isNull() | (F.col("cost") < F.col("bound")))
+        fresh = crossings.join(before, ["query_id", "node"], "left").join(arrived, "query_id", "left").where(
+            (F.col("old").isNull() | (F.struct("cost", "free", "pred", "edge") < F.col("old"))) & (F.col("best").isNull() | (F.col("cost") < F.col("best")))
         )
         entered = materialize(fresh.select("query_id", "cell", "node", "cost", "free", "pred", "edge"))
-        known = known.unionByName(entered)
         count = entered.count()
-        LOG.info("round %d: %d entries into further cells", len(written), count)
+        LOG.info("round %d: %d entries into further cells", number, count)
         if not count:
-            break
-    return written
+            return written
+        known = known.unionByName(entered)
 
 
 def build_road_index(adjacency: DataFrame, nodes: DataFrame, cell_nodes: int = 1 << 14, landmarks: int = 4) -> RoadIndex:
@@ -239,6 +251,7 @@ def build_road_index(adjacency: DataFrame, nodes: DataFrame, cell_nodes: int = 1
 
     A task holds one cell with its arcs, so ``cell_nodes`` bounds its memory. Landmarks are the outermost nodes in four directions, up to ``landmarks`` of them.
     """
+    nodes = materialize(nodes)
     cells = materialize(assign_cells(nodes, cell_nodes))
     at = [cells.select(F.col("node_id").alias(c), F.col("cell").alias(n)) for c, n in (("u", "cell"), ("v", "to_cell"))]
     plain = materialize(adjacency.join(at[0], "u").join(at[1], "v").select("cell", "u", "v", "to_cell", "edge_id", "weight"))
@@ -265,12 +278,7 @@ def _landmark_distances(arcs: DataFrame, cells: DataFrame, nodes: DataFrame, lan
         F.explode(F.array(F.struct((F.col("i") * 2).alias("query_id"), F.concat(F.lit(">"), "cell").alias("cell")), F.struct((F.col("i") * 2 + 1).alias("query_id"), F.concat(F.lit("<"), "cell").alias("cell")))).alias("s"),
         F.col("node_id").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("free"), F.lit(START_NODE).cast("long").alias("pred"), F.lit(0).cast("long").alias("edge"),
     ).select("s.*", "node", "cost", "free", "pred", "edge")
-    nothing = [spark.createDataFrame([], s) for s in (
-        "query_id int, cell string, ends array<struct<node:bigint,last:double,edge:bigint>>", "query_id int, goals array<struct<last:double,to:array<double>,from:array<double>>>", "query_id int, bound double")]
-    written = _rounds(both, materialize(entered), *nothing, everything=True, most_requests=1)
-    settled = written[0]
-    for part in written[1:]:
-        settled = settled.unionByName(part)
+    settled = _rounds(both, materialize(entered), spark.createDataFrame([], f"query_id int, aims {_AIMS}, bound double"), everything=True, most_requests=1)
     reached = settled.where(F.col("kind") == _STATE).groupBy(F.col("node").alias("node_id"))
     sides = [F.array(*[F.coalesce(F.min(F.when(F.col("query_id") == 2 * i + back, F.col("cost"))), F.lit(float("inf"))) for i in range(len(chosen))]) for back in (1, 0)]
     far = F.array_repeat(F.lit(float("inf")), len(chosen))
@@ -285,27 +293,21 @@ def indexed_paths(starts: DataFrame, ends: DataFrame, index: RoadIndex) -> tuple
     round. ``state`` has the nodes of the paths that leave a cell or arrive. Equal costs: fewest free arcs since the last one with a length, then the smallest (pred, edge)
     of those found; null nodes reach nothing.
     """
-    starts, ends = materialize(starts.where("node is not null")), materialize(ends.where("node is not null"))
-    labelled = [d.join(index.labels, d["node"] == index.labels["node_id"]).select("query_id", "label").distinct() for d in (starts, ends)]
-    possible = materialize(labelled[0].join(labelled[1], ["query_id", "label"]).select("query_id").distinct())
-    first = starts.join(possible, "query_id", "left_semi").groupBy("query_id", "node").agg(
-        F.min(F.struct("cost", F.lit(0).alias("free"), F.lit(START_NODE).cast("long").alias("pred"), F.col("edge_id").cast("long").alias("edge"))).alias("b")
-    )
-    placed = index.cells.withColumnRenamed("node_id", "node").join(index.marks.withColumnRenamed("node_id", "node"), "node")
-    first = materialize(first.join(placed, "node").select("query_id", "cell", "node", "b.*", "to"))
-    last = materialize(ends.join(possible, "query_id", "left_semi").join(placed, "node").select("query_id", "cell", "node", F.col("cost").alias("last"), F.col("edge_id").cast("long").alias("edge"), "to", "from"))
-    in_cells = materialize(last.groupBy("query_id", "cell").agg(F.collect_list(F.struct("node", "last", "edge")).alias("ends")))
-    goals = materialize(last.groupBy("query_id").agg(F.collect_list(F.struct("last", "to", "from")).alias("goals")))
+    placed = index.cells.join(index.marks, "node_id").join(index.labels, "node_id").withColumnRenamed("node_id", "node")
+    entry = F.struct("cost", F.lit(0).alias("free"), F.lit(START_NODE).cast("long").alias("pred"), F.col("edge_id").cast("long").alias("edge"))
+    first = materialize(starts.groupBy("query_id", "node").agg(F.min(entry).alias("b")).join(placed, "node").select("query_id", "cell", "node", "b.*", "to", "label"))
+    last = materialize(ends.join(placed, "node").select("query_id", "cell", "node", F.col("cost").alias("last"), F.col("edge_id").cast("long").alias("edge"), "to", "from", "label"))
     by_way = F.array_min(F.zip_with("to", "from", lambda a, b: a + b)) + F.col("cost") + F.col("last")  # by a landmark, so no cheapest path costs more
-    bounds = first.select("query_id", "cost", "to").join(last.select("query_id", "last", "from"), "query_id")
-    bounds = bounds.groupBy("query_id").agg((F.min(F.coalesce(by_way, F.lit(float("inf")))) * (1 + _SLACK) + _SLACK).alias("bound"))
-    written = _rounds(index.arcs, first.drop("to"), in_cells, goals, bounds)
-    out = written[0]
-    for part in written[1:]:
-        out = out.unionByName(part)
+    possible = first.select("query_id", "label", "cost", "to").join(last.select("query_id", "label", "last", "from"), ["query_id", "label"])
+    bounds = possible.groupBy("query_id").agg((F.min(F.coalesce(by_way, F.lit(float("inf")))) * (1 + _SLACK) + _SLACK).alias("bound"))
+    aims = last.groupBy("query_id").agg(F.collect_list(F.struct("cell", "node", "last", "edge", "to", "from").cast(_AIMS[6:-1])).alias("aims"))
+    aims = materialize(aims.join(bounds, "query_id"))
+    entered = first.join(aims.select("query_id"), "query_id", "left_semi").select("query_id", "cell", "node", "cost", "free", "pred", "edge")
+    mean = index.arcs.agg(F.avg("weight")).first()[0] or 1.0
+    out = _rounds(index.arcs, entered, aims, limit=_FIRST_ARCS * mean)
     state = out.where(F.col("kind") == _STATE).groupBy("query_id", "node").agg(F.min(F.struct("cost", "free", "pred", "edge")).alias("b"))
     found = out.where(F.col("kind") == _ARRIVAL).groupBy("query_id").agg(F.min(F.struct("cost", "node", "edge")).alias("b"))
     return (
         found.select("query_id", "b.node", F.col("b.edge").alias("edge_id"), "b.cost"),
-        materialize(state.select("query_id", "node", "b.cost", "b.free", "b.pred", F.col("b.edge").alias("pred_edge"))),
+        state.select("query_id", "node", "b.cost", "b.free", "b.pred", F.col("b.edge").alias("pred_edge")),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placewise.functions.geo import (
     bearing, first_coord, haversine_m, last_coord, parse_linestring, project_to_segment, turn_type,
 )
-from placewise.operators.road_index import RoadIndex, build_road_index, indexed_paths
+from placewise.operators.road_index import RoadIndex, indexed_paths
 from placewise.operators.spatial import snap_to_edges
 from placewise.tables import materialize
 
@@ -270,13 +270,14 @@ def route_all(requests: DataFrame, ways: DataFrame, ratio: str = "segment", inde
     """Features of the routes of all requests; unreachable ones have none.
 
     ``ratio='segment'`` uses the position within the snapped segment as a share of the whole edge;
-    ``ratio='edge'`` uses the true share of the edge. An index that was built for these ways is used again; else one without landmarks is built.
+    ``ratio='edge'`` uses the true share of the edge. With an index that was built for these ways requests are searched cell by cell, which pays where routes are long or the index is
+    used again; without one their arcs are relaxed round by round.
     """
     snapped = materialize(snap_requests(requests, ways))
     if ratio == "edge":
         snapped = materialize(_edge_ratio(snapped, ways))
     starts, ends = virtual_links(snapped.where("start_edge_id <> end_edge_id"), ways)
-    found, state = indexed_paths(starts, ends, index or build_road_index(*build_road_graph(ways), landmarks=0))
+    found, state = indexed_paths(starts, ends, index) if index else shortest_paths(starts, ends, build_road_graph(ways)[0])
     return assemble_routes(snapped, trace_paths(found, state), ways)
 
 
