@@ -205,6 +205,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows of a near-duplicate group that are not its smallest key; all other rows and all columns stay."""
-    gone = near_duplicates(docs, key, text, k, percent).where(~F.col("kept")).select(F.col(key).alias("_pw_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_pw_gone"), "left_anti")
+    """``docs`` without the rows of a near-duplicate group that are not its smallest key; all other rows and all columns stay.
+
+    Rows go by their own text: of a key with two texts only the one in a smaller key's group goes. Of repeated rows and of near texts under one key one stays. Rows with a null
+    key or without words all stay.
+    """
+    # The text's hash makes the rows of a repeated key different ones, in the keys' order.
+    own = F.when(docs[key].isNotNull(), F.struct(docs[key].alias("key"), F.xxhash64(docs[text]).alias("mark")))
+    judged = near_duplicates(docs.select(own.alias("_pw_own"), docs[text].alias("_pw_text")), "_pw_own", "_pw_text", k, percent).where("_pw_own is not null and n_shingles > 0")
+    counted = materialize(judged.groupBy("_pw_own").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 or not kept").select("_pw_own", "kept"))
+    rows = docs.select(own.alias("_pw_own"), F.struct(*[docs[c] for c in docs.columns]).alias("_pw_row"))
+    once = rows.join(counted.where("kept"), "_pw_own", "left_semi").dropDuplicates(["_pw_own"])
+    return rows.join(counted, "_pw_own", "left_anti").unionByName(once).select("_pw_row.*")

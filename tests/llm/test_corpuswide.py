@@ -101,6 +101,16 @@ def test_pairs_in_a_family(spark):
     assert {r.doc_id: r.component_id for r in got} == {key: key // 2 * 2 for key, _ in rows}
 
 
+def test_rows_go_by_their_own_text(spark):
+    """A key with a copied and a clean text, a key repeated as it is, two near texts under one key, empty texts under one key."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (7, c), (7, c), (8, "quite another text of ten words that nobody has but this"), (8, "quite another text of ten words that nobody has but this"), (None, a), (None, a), (9, ""), (9, None), (6, b)]
+    docs = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, TEXT string, component_id int")
+    got = keep_one_of_each(docs, text="TEXT")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.TEXT) for r in got.collect()), key=repr) == sorted([(1, a), (5, b), (7, c), rows[5], (None, a), (None, a), (9, ""), (9, None)], key=repr)
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     got = near_duplicates(odd, k=3, percent=85).collect()
     assert len(got) == odd.count() and sum(r.doc_id is None for r in got) == 1
