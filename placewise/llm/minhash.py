@@ -213,7 +213,14 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     # The text's hash makes the rows of a repeated key different ones, in the keys' order.
     own = F.when(docs[key].isNotNull(), F.struct(docs[key].alias("key"), F.xxhash64(docs[text]).alias("mark")))
     judged = near_duplicates(docs.select(own.alias("_pw_own"), docs[text].alias("_pw_text")), "_pw_own", "_pw_text", k, percent).where("_pw_own is not null and n_shingles > 0")
-    counted = materialize(judged.groupBy("_pw_own").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 or not kept").select("_pw_own", "kept"))
-    rows = docs.select(own.alias("_pw_own"), F.struct(*[docs[c] for c in docs.columns]).alias("_pw_row"))
-    once = rows.join(counted.where("kept"), "_pw_own", "left_semi").dropDuplicates(["_pw_own"])
-    return rows.join(counted, "_pw_own", "left_anti").unionByName(once).select("_pw_row.*")
+    counted = materialize(judged.groupBy("_pw_own").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    keys = counted.groupBy(F.col("_pw_own.key").alias("_pw_key")).agg(F.sum("n").alias("n"), F.min("kept").alias("kept"))
+    apart = materialize(keys.where("n > 1 or not kept").select("_pw_key", (F.col("n") > 1).alias("repeated")))  # keys only, so texts need not be shuffled for a few of them
+    clear = docs.join(apart.select("_pw_key"), docs[key] == F.col("_pw_key"), "left_anti")
+    repeated = apart.where("repeated").select("_pw_key")
+    if repeated.isEmpty():
+        return clear
+    rows = docs.select(docs[key].alias("_pw_key"), own.alias("_pw_own"), F.struct(*[docs[c] for c in docs.columns]).alias("_pw_row")).join(repeated, "_pw_key", "left_semi")
+    worded = rows.join(counted.where("kept").select("_pw_own"), "_pw_own", "left_semi").dropDuplicates(["_pw_own"])
+    wordless = rows.join(counted.select("_pw_own"), "_pw_own", "left_anti")
+    return clear.unionByName(worded.unionByName(wordless).select("_pw_row.*"))
