@@ -28,6 +28,12 @@ def unit_sphere(lng: Column, lat: Column) -> dict[str, Column]:
     }
 
 
+def cell_columns(axes: list[str], low: float, span: float, rounds: int = _ROUNDS) -> dict[str, Column]:
+    """Columns ``_c0``, ``_c1`` .. with the smallest cell of a row, after ``rounds`` splits of the range."""
+    finest = span / _SPLIT**rounds
+    return {f"_c{i}": F.floor((F.col(a) - low) / finest).cast("long") for i, a in enumerate(axes)}
+
+
 def nearest_candidates(
     queries: DataFrame,
     items: DataFrame,
@@ -47,27 +53,46 @@ def nearest_candidates(
     """
     key = key or []
     cells = [f"_c{i}" for i in range(len(axes))]
-    finest = span / _SPLIT**_ROUNDS
+    placed = materialize(items.withColumns(cell_columns(axes, low, span)))
+    occupied = placed.groupBy(*key, *cells).agg(F.count("*").alias("_n"))
+    chosen = nearest_cells(queries, occupied, query_id, axes, low, span, k, key, slack)
+    return chosen.join(placed.drop(*axes), [*key, *cells]).drop(*cells)
+
+
+def nearest_cells(
+    queries: DataFrame,
+    occupied: DataFrame,
+    query_id: str,
+    axes: list[str],
+    low: float,
+    span: float,
+    k: int = 1,
+    key: list[str] | None = None,
+    slack: float = 0.0,
+    rounds: int = _ROUNDS,
+) -> DataFrame:
+    """Rows (query_id, key, _c0, _c1 ..): the smallest cells that can hold one of a query's ``k`` nearest items.
+
+    ``occupied`` has the cells of ``cell_columns`` with the number ``_n`` of items in each; the items themselves are not needed.
+    """
+    key = key or []
+    cells = [f"_c{i}" for i in range(len(axes))]
     tolerance = slack + span * 1e-9
 
     queries = materialize(queries.select(query_id, *key, *axes))
-    placed = materialize(items.withColumns(
-        {c: F.floor((F.col(a) - low) / finest).cast("long") for c, a in zip(cells, axes)}
-    ))
     # The occupied cells of all levels, counted in one pass and written per level: their true sizes let the
     # planner broadcast a level while it is small.
-    occupied = placed.groupBy(*key, *cells).agg(F.count("*").alias("_n"))
     at_level = F.struct(F.col("_up").alias("_level"), *[
-        F.floor(F.col(c) / F.pow(F.lit(float(_SPLIT)), F.lit(_ROUNDS) - F.col("_up"))).cast("long").alias(c) for c in cells
+        F.floor(F.col(c) / F.pow(F.lit(float(_SPLIT)), F.lit(rounds) - F.col("_up"))).cast("long").alias(c) for c in cells
     ])
-    spread = occupied.withColumn("_up", F.explode(F.sequence(F.lit(1), F.lit(_ROUNDS)))).select(*key, "_n", at_level.alias("_at"))
+    spread = occupied.withColumn("_up", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).select(*key, "_n", at_level.alias("_at"))
     counted = spread.groupBy(*key, "_at").agg(F.sum("_n").alias("_n")).select(*key, "_at.*", "_n")
-    levels = materialize_split(counted, "_level", list(range(1, _ROUNDS + 1)))
+    levels = materialize_split(counted, "_level", list(range(1, rounds + 1)))
 
     # One shuffle by query; while the cells are broadcast, the windows of all rounds reuse it.
     root = [F.least(F.floor((F.col(a) - low) / span).cast("long"), F.lit(0)).alias(f"_p{i}") for i, a in enumerate(axes)]
     frontier = queries.repartition(query_id).select(query_id, *key, *axes, *root)
-    for level in range(1, _ROUNDS + 1):
+    for level in range(1, rounds + 1):
         size = span / _SPLIT**level
         children = levels[level].withColumns(
             {f"_p{i}": F.floor(F.col(c) / _SPLIT).cast("long") for i, c in enumerate(cells)}
@@ -94,5 +119,4 @@ def nearest_candidates(
         kept = bounded.where(F.col("_least") <= F.col("_certain") + tolerance)
         frontier = kept.select(query_id, *key, *axes, *[F.col(c).alias(f"_p{i}") for i, c in enumerate(cells)])
 
-    to_items = frontier.select(query_id, *key, *[F.col(f"_p{i}").alias(c) for i, c in enumerate(cells)])
-    return to_items.join(placed.drop(*axes), [*key, *cells]).drop(*cells)
+    return frontier.select(query_id, *key, *[F.col(f"_p{i}").alias(c) for i, c in enumerate(cells)])

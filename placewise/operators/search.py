@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placewise.functions.address import parse_address_facet
 from placewise.functions.contact import is_phone_or_address
 from placewise.functions.geo import haversine_km
-from placewise.operators.nearest import nearest_candidates, unit_sphere
+from placewise.operators.nearest import cell_columns, nearest_cells, unit_sphere
 from placewise.operators.substring import contains_join
 from placewise.tables import materialize
 
@@ -39,6 +39,7 @@ TOP_PRIORITY = 99999999
 SUGGESTIONS = 10
 PAGE_SIZE = 10
 # ------------------------------------------------------------------------------------------------------------
+_SEARCH_ROUNDS = 5  # cells of 1 / 8 ** 5 of the sphere's box, about 400 m
 
 
 def order_by(df: DataFrame, key: str, desc: bool = False, tie: str = "id") -> DataFrame:
@@ -108,52 +109,67 @@ def implied_categories(word: Column) -> Column:
     return F.filter(F.array(*found), lambda c: c.isNotNull())
 
 
-def _word_matches(words: DataFrame, stores: DataFrame) -> DataFrame:
-    """(word, store id) pairs: the word occurs in name, address or category, or implies the category."""
-    texts = stores.select(
-        "id", F.lower("category_name").alias("_category"),
-        F.concat_ws("\x01", F.lower("name"), F.lower("address"), F.lower("category_name")).alias("_text"),
-    )
-    direct = contains_join(words, texts, "word", "_text").select("word", "id")
+def _matches(word: Column, text: Column, category: Column) -> Column:
+    """Does the word occur in the text, imply the category, or is it empty?"""
+    implied = F.coalesce(F.array_contains(implied_categories(word), category), F.lit(False))
+    return (word == "") | F.coalesce(F.contains(text, word), F.lit(False)) | implied
+
+
+def _word_hits(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every pair of a non-empty word and a matching row of ``texts``, once; to be aggregated or limited, not written."""
+    direct = contains_join(words, texts, "word", "_text")
     implied = words.select("word", F.explode(implied_categories(F.col("word"))).alias("_category"))
-    by_category = implied.join(texts.select("id", "_category"), "_category").select("word", "id")
-    # The empty word matches everything; its lookup side is a single row.
-    empty = F.broadcast(words.where("word = ''").limit(1))
-    everything = texts.select("id", F.lit("").alias("word")).join(empty, "word").select("word", "id")
-    return direct.unionByName(by_category).distinct().unionByName(everything)
+    others = implied.join(texts, "_category").where(~F.coalesce(F.contains("_text", "word"), F.lit(False)))
+    return direct.unionByName(others)
 
 
 def smart_search(stores: DataFrame, queries: DataFrame, k: int = SUGGESTIONS) -> DataFrame:
     """First ``k`` stores per query (query_id, keyword, lng, lat): nearest first, or by id without a location.
 
-    ``stores`` needs id, name, address, category_name, lng, lat. Equal words and equal (word, location) pairs
-    are answered once. With a location only the nearest grid cells of matching stores are compared.
+    ``stores`` needs id, name, address, category_name, lng, lat. Equal words and equal (word, location) pairs are answered once.
+
+    Pairs of words and stores are never written. With a location, they are only counted by word and cell (about 400 m); the counts name the few cells that can hold
+    a search's ``k`` nearest stores, and only the stores of those cells are fetched and matched again. Without a location, every task
+    keeps the first ``k`` ids of a word before the shuffle. The empty word takes its counts from the stores alone.
     """
     asked = queries.where(F.trim("keyword") != "").withColumn("word", search_word(F.col("keyword")))
-    words = asked.select("word").distinct()
-    matched = materialize(_word_matches(words, stores))
-
     placeless = asked.where("lng is null or lat is null").select("query_id", "word")
-    first = matched.join(placeless.select("word").distinct(), "word", "left_semi").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("word").orderBy("id"))
-    ).where(F.col("rank") <= k)
-    unplaced = placeless.join(first, "word").select("query_id", F.col("id").alias("store_id"), F.lit(None).cast("double").alias("km"), "rank")
-
     placed = asked.where("lng is not null and lat is not null").select("query_id", "word", "lng", "lat")
-    spots = placed.groupBy("word", "lng", "lat").agg(F.min("query_id").alias("spot"))
-    located = matched.join(spots.select("word").distinct(), "word", "left_semi").join(
-        stores.select("id", F.col("lng").alias("s_lng"), F.col("lat").alias("s_lat")), "id"
+    axes, low, span = ["x", "y", "z"], -1.0, 2.0
+    cells = [f"_c{i}" for i in range(len(axes))]
+    texts = stores.select(
+        "id", F.lower("category_name").alias("_category"),
+        F.concat_ws("\x01", F.lower("name"), F.lower("address"), F.lower("category_name")).alias("_text"),
+        F.col("lng").alias("s_lng"), F.col("lat").alias("s_lat"),
     )
+
+    first_words = placeless.select("word").distinct()
+    # The empty word matches everything; its lookup side is a single row.
+    empty = F.broadcast(first_words.where("word = ''").limit(1))
+    hits = _word_hits(first_words, texts.select("id", "_category", "_text")).select("word", "id")
+    hits = hits.unionByName(texts.select("id", F.lit("").alias("word")).join(empty, "word").select("word", "id"))
+    first = hits.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("id"))).where(F.col("rank") <= k)
+    unplaced = placeless.join(first, "word").select("query_id", F.col("id").alias("store_id"), F.lit(None).cast("double").alias("km"), "rank")
+
+    spots = materialize(placed.groupBy("word", "lng", "lat").agg(F.min("query_id").alias("spot")))
+    near_words = spots.select("word").distinct()
+    located = texts.where("s_lng is not null and s_lat is not null").withColumns(unit_sphere(F.col("s_lng"), F.col("s_lat")))
+    located = materialize(located.withColumns(cell_columns(axes, low, span, _SEARCH_ROUNDS)).drop(*axes))
+    counted = _word_hits(near_words, located.drop("id", "s_lng", "s_lat")).groupBy("word", *cells).agg(F.count("*").alias("_n"))
+    everywhere = located.groupBy(*cells).agg(F.count("*").alias("_n")).withColumn("word", F.lit(""))
+    everywhere = everywhere.join(F.broadcast(near_words.where("word = ''").limit(1)), "word")
+    chosen = materialize(nearest_cells(
+        spots.withColumns(unit_sphere(F.col("lng"), F.col("lat"))), counted.unionByName(everywhere),
+        "spot", axes, low, span, k, key=["word"], rounds=_SEARCH_ROUNDS,
+    ))
+    found = chosen.select("word", *cells).distinct().join(located, cells)
+    found = found.where(_matches(F.col("word"), F.col("_text"), F.col("_category"))).drop("_text", "_category")
     # Of the stores on one point only the k first can be among the k nearest.
-    located = located.withColumn(
-        "_same", F.row_number().over(Window.partitionBy("word", "s_lng", "s_lat").orderBy("id"))
+    found = found.withColumn(
+        "_same", F.row_number().over(Window.partitionBy("word", *cells, "s_lng", "s_lat").orderBy("id"))
     ).where(F.col("_same") <= k).drop("_same")
-    near = nearest_candidates(
-        spots.withColumns(unit_sphere(F.col("lng"), F.col("lat"))),
-        located.withColumns(unit_sphere(F.col("s_lng"), F.col("s_lat"))),
-        "spot", ["x", "y", "z"], low=-1.0, span=2.0, k=k, key=["word"],
-    ).drop("word")
-    ranked = near.join(spots, "spot").withColumn("km", haversine_km(F.col("lng"), F.col("lat"), F.col("s_lng"), F.col("s_lat")))
+    ranked = chosen.join(found, ["word", *cells]).drop("word").join(spots, "spot")
+    ranked = ranked.withColumn("km", haversine_km(F.col("lng"), F.col("lat"), F.col("s_lng"), F.col("s_lat")))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("spot").orderBy("km", "id"))).where(F.col("rank") <= k)
     answers = placed.join(ranked.select("word", "lng", "lat", F.col("id").alias("store_id"), "km", "rank"), ["word", "lng", "lat"])
     return unplaced.unionByName(answers.select("query_id", "store_id", "km", "rank"))
