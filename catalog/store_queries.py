@@ -183,8 +183,8 @@ def _(d):
 
 @query(
     "f9_address_facets",
-    """SELECT DISTINCT facet, value FROM (SELECT 'district' AS facet, district AS value FROM f_out UNION ALL SELECT 'ward', ward FROM f_out WHERE district = 'Quận Ninh Kiều'
- UNION ALL SELECT 'street', street_name FROM f_out WHERE district = 'Quận Ninh Kiều' AND ward = 'Phường Tân An') x WHERE value <> ''""",
+    """SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY value COLLATE vi, value) AS INTEGER) AS position FROM (SELECT DISTINCT facet, value FROM (SELECT 'district' AS facet, district AS value FROM f_out UNION ALL SELECT 'ward', ward FROM f_out WHERE district = 'Quận Ninh Kiều'
+ UNION ALL SELECT 'street', street_name FROM f_out WHERE district = 'Quận Ninh Kiều' AND ward = 'Phường Tân An') x WHERE value <> '') y""",
     "stores", facet_address_ctes(),
 )
 def _(d):

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from catalog.registry import decision, haversine, norm, partial, query, r4, ratio, score, sql_exact, sql_r4, token_set
 from catalog.views import stream_view
-from catalog.workflow_queries import _NOTES, _latest
+from catalog.workflow_queries import IMAGE_NOTES, PATCHED_IMAGES, PATCHED_STORES, STORE_NOTES
 from placewise.streaming import feeds
-from placewise.tables import fresh_path, materialize
+from placewise.tables import fresh_path
 
 
 @query(
@@ -53,18 +53,21 @@ def _(d):
     return feeds.append_once(feeds.duplicate_alerts(arriving, d.stores), fresh_path(d.spark))
 
 
-@query(
-    "st5_apply_approvals",
-    """SELECT s.id, CASE WHEN n.store_id IS NULL THEN s.name ELSE n.v END AS name, CASE WHEN e.store_id IS NULL THEN s.email ELSE e.v END AS email
-FROM stores s LEFT JOIN l_name n ON n.store_id = s.id LEFT JOIN l_email e ON e.store_id = s.id""",
-    "stores approvals", {"notes": _NOTES, "l_name": _latest("name", ""), "l_email": _latest("email", "")},
-)
+def _merged_state(d):
+    """The approvals arrive in eight files, one a batch, in no order of time; the log is compacted once."""
+    arriving, log, compact = (fresh_path(d.spark) for _ in range(3))
+    d.approvals.repartition(8, "id").write.parquet(arriving)
+    stream = feeds.read_changes(d.spark, arriving, d.approvals.schema, files_per_trigger=1)
+    feeds.run_once(feeds.log_approvals(stream, log), f"{fresh_path(d.spark)}/progress")
+    feeds.compact_log(d.spark, log, compact)
+    return feeds.merged_state(d.stores, d.images, compact)
+
+
+@query("st5_apply_approvals", PATCHED_STORES, "stores approvals", STORE_NOTES)
 def _(d):
-    state = {"stores": d.stores, "images": d.images}
+    return _merged_state(d)[0].select("id", "name", "phone", "email", "address", "lat", "lng", "state")
 
-    def write(stores, images, number):
-        state.update(stores=materialize(stores), images=materialize(images))
 
-    approvals = stream_view(d.spark, d.folder, "approvals", "orders")
-    feeds.run_once(feeds.apply_decided_approvals(approvals, lambda: (state["stores"], state["images"]), write), f"{fresh_path(d.spark)}/progress")
-    return state["stores"].select("id", "name", "email")
+@query("st5_approved_images", PATCHED_IMAGES, "images approvals", IMAGE_NOTES)
+def _(d):
+    return _merged_state(d)[1].select("id", "store_id", "state")

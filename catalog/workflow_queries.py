@@ -19,37 +19,35 @@ def _latest(field: str, cte: str) -> str:
     return f"SELECT store_id, note->>'{field}' AS v FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY date_up DESC, id DESC) AS n FROM notes WHERE json_exists(note, '$.{field}')) x WHERE n = 1"
 
 
-@query(
-    "p9_patch_stores",
-    """SELECT s.id, CASE WHEN n.store_id IS NULL THEN s.name ELSE n.v END AS name, CASE WHEN p.store_id IS NULL THEN s.phone ELSE p.v END AS phone,
+PATCHED_STORES = """SELECT s.id, CASE WHEN n.store_id IS NULL THEN s.name ELSE n.v END AS name, CASE WHEN p.store_id IS NULL THEN s.phone ELSE p.v END AS phone,
  CASE WHEN e.store_id IS NULL THEN s.email ELSE e.v END AS email, s.address, CASE WHEN g.store_id IS NULL THEN s.lat ELSE g.lat END AS lat,
  CASE WHEN g.store_id IS NULL THEN s.lng ELSE g.lng END AS lng, CASE WHEN c.store_id IS NULL THEN s.state ELSE 'active' END AS state
 FROM stores s LEFT JOIN l_name n ON n.store_id = s.id LEFT JOIN l_phone p ON p.store_id = s.id LEFT JOIN l_email e ON e.store_id = s.id
-LEFT JOIN l_point g ON g.store_id = s.id LEFT JOIN created c ON c.store_id = s.id""",
-    "stores approvals",
-    {
-        "notes": _NOTES, "l_name": _latest("name", ""), "l_phone": _latest("phone", ""), "l_email": _latest("email", ""),
-        "l_point": """SELECT store_id, lat, lng FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY date_up DESC, id DESC) AS n FROM (
+LEFT JOIN l_point g ON g.store_id = s.id LEFT JOIN created c ON c.store_id = s.id"""
+STORE_NOTES = {
+    "notes": _NOTES, "l_name": _latest("name", ""), "l_phone": _latest("phone", ""), "l_email": _latest("email", ""),
+    "l_point": """SELECT store_id, lat, lng FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY date_up DESC, id DESC) AS n FROM (
  SELECT store_id, id, date_up, TRY_CAST(note->>'latitude' AS DOUBLE) AS lat, TRY_CAST(note->>'longitude' AS DOUBLE) AS lng FROM notes) y WHERE lat IS NOT NULL AND lng IS NOT NULL) x WHERE n = 1""",
-        "created": "SELECT DISTINCT store_id FROM notes WHERE note->>'action' = 'CREATE_NEW'",
-    },
-)
+    "created": "SELECT DISTINCT store_id FROM notes WHERE note->>'action' = 'CREATE_NEW'",
+}
+
+
+@query("p9_patch_stores", PATCHED_STORES, "stores approvals", STORE_NOTES)
 def _(d):
     return W.patch_stores(d.stores, d.approvals).select("id", "name", "phone", "email", "address", "lat", "lng", "state")
 
 
-@query(
-    "p9_patch_images",
-    """SELECT i.id, i.store_id, CASE WHEN i.store_id IN (SELECT store_id FROM created) OR i.id IN (SELECT id FROM published) THEN 'public' ELSE i.state END AS state
-FROM images i WHERE i.id NOT IN (SELECT id FROM deleted)""",
-    "images approvals",
-    {
-        "notes": _NOTES, "created": "SELECT DISTINCT store_id FROM notes WHERE note->>'action' = 'CREATE_NEW'",
-        "edits": "SELECT * FROM notes WHERE coalesce(note->>'action', '') <> 'CREATE_NEW'",
-        "published": "SELECT unnest(CAST(note->'new_images' AS BIGINT[])) AS id FROM edits WHERE json_exists(note, '$.new_images')",
-        "deleted": "SELECT unnest(CAST(note->'deleted_images' AS BIGINT[])) AS id FROM edits WHERE json_exists(note, '$.deleted_images')",
-    },
-)
+PATCHED_IMAGES = """SELECT i.id, i.store_id, CASE WHEN i.store_id IN (SELECT store_id FROM created) OR i.id IN (SELECT id FROM published) THEN 'public' ELSE i.state END AS state
+FROM images i WHERE i.id NOT IN (SELECT id FROM deleted)"""
+IMAGE_NOTES = {
+    "notes": _NOTES, "created": "SELECT DISTINCT store_id FROM notes WHERE note->>'action' = 'CREATE_NEW'",
+    "edits": "SELECT * FROM notes WHERE coalesce(note->>'action', '') <> 'CREATE_NEW'",
+    "published": "SELECT unnest(CAST(note->'new_images' AS BIGINT[])) AS id FROM edits WHERE json_exists(note, '$.new_images')",
+    "deleted": "SELECT unnest(CAST(note->'deleted_images' AS BIGINT[])) AS id FROM edits WHERE json_exists(note, '$.deleted_images')",
+}
+
+
+@query("p9_patch_images", PATCHED_IMAGES, "images approvals", IMAGE_NOTES)
 def _(d):
     return W.patch_images(d.images, d.approvals).select("id", "store_id", "state")
 

@@ -39,6 +39,7 @@ TOP_PRIORITY = 99999999
 SUGGESTIONS = 10
 PAGE_SIZE = 10
 # ------------------------------------------------------------------------------------------------------------
+VIETNAMESE = "vi"  # collation of values shown in lists
 _SEARCH_ROUNDS = 5  # cells of 1 / 8 ** 5 of the sphere's box, about 400 m
 
 
@@ -176,9 +177,10 @@ def smart_search(stores: DataFrame, queries: DataFrame, k: int = SUGGESTIONS) ->
 
 
 def address_facets(stores: DataFrame, district: str | None = None, ward: str | None = None) -> DataFrame:
-    """(facet, value): districts of all stores, wards under the district, streets under the ward.
+    """(facet, value, position): districts of all stores, wards under the district, streets under the ward.
 
-    Values are ordered by code point within a facet.
+    Within a facet values stand in Vietnamese alphabetical order (d before đ, o before ô before ơ, tones after letters); ``position`` counts them from 1. Only the
+    distinct values of a facet are ranked.
     """
     parsed = parse_address_facet(stores.select("address"), "address", "a")
     in_district = F.lit(True) if not district else F.col("a.district") == district
@@ -189,7 +191,8 @@ def address_facets(stores: DataFrame, district: str | None = None, ward: str | N
         F.struct(F.lit("street").alias("facet"), F.when(in_ward, F.col("a.street_name")).alias("value")),
     )
     values = parsed.select(F.inline(facets)).where("value is not null and value <> ''").distinct()
-    return values.orderBy("facet", "value")
+    alphabet = Window.partitionBy("facet").orderBy(F.collate("value", VIETNAMESE), "value")
+    return values.withColumn("position", F.row_number().over(alphabet)).orderBy("facet", "position")
 
 
 def favorite_flag(stores: DataFrame, favorites: DataFrame, user_id: int) -> DataFrame:

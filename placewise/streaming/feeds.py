@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -14,7 +12,7 @@ from placewise.functions.formats import round_exact
 from placewise.functions.text import decide, normalize_text, similarity, weighted_score
 from placewise.operators.relational import recent_searches
 from placewise.operators.spatial import radius_join
-from placewise.operators.workflow import apply_approvals
+from placewise.operators.workflow import merge_image_changes, merge_store_changes, newest_changes, note_changes
 
 ADDED, UPDATED = "STORE_ADDED", "STORE_UPDATED"
 
@@ -60,24 +58,30 @@ def duplicate_alerts(arriving: DataFrame, stores: DataFrame, radius: float = 15.
     )
 
 
-def apply_decided_approvals(
-    approvals: DataFrame,
-    read_state: Callable[[], tuple[DataFrame, DataFrame]],
-    write_state: Callable[[DataFrame, DataFrame, int], None],
-) -> DataStreamWriter:
-    """Apply approved notes batch by batch.
+def log_approvals(approvals: DataFrame, log: str, when: str = "date_up") -> DataStreamWriter:
+    """Write what approved notes change to a change log, batch by batch; ``merged_state`` reads it.
 
-    ``read_state`` gives the current stores and images, ``write_state`` stores the new ones under the batch
-    number; writing a batch again must be harmless, as a restarted query repeats its last batch.
+    A batch writes its own changes only, one row per store or image and field, under its number: a batch repeated after a restart replaces itself, and no table is
+    rewritten. Values are told apart by ``when``, so batches may come in any order, and an older decision in a later batch overwrites nothing.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        stores, images = read_state()
-        write_state(*apply_approvals(stores, images, batch), number)
+        note_changes(batch, when).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return approvals.writeStream.outputMode("append").foreachBatch(step)
 
 
+def merged_state(stores: DataFrame, images: DataFrame, log: str) -> tuple[DataFrame, DataFrame]:
+    """Stores and images after all changes in the log, merged while it is read."""
+    changes = newest_changes(stores.sparkSession.read.parquet(log).drop("batch"))
+    return merge_store_changes(stores, changes), merge_image_changes(images, changes)
+
+
+def compact_log(spark: SparkSession, log: str, target: str) -> None:
+    """The log reduced to the newest changes as a log of its own; ``log`` must not be written to meanwhile."""
+    newest_changes(spark.read.parquet(log).drop("batch")).write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+
 def run_once(writer: DataStreamWriter, checkpoint: str):
     """Process everything available and stop."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

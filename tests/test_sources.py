@@ -77,31 +77,46 @@ def test_streams_equal_batches(spark, tmp_path):
 
 def test_approvals_in_batches_equal_one_replay(spark, tmp_path):
     table, images, approvals = (view(spark, SMALL, n) for n in ("stores", "images", "approvals"))
+    want_stores, want_images = W.apply_approvals(table, images, approvals)
     approved = approvals.where("status = 'approved'").orderBy("date_up", "id")
     half = approved.selectExpr("percentile_approx(date_up, 0.5)").first()[0]
-    # Later notes come later, as they do when they are decided one after the other.
-    approvals.where(F.col("date_up") <= half).coalesce(1).write.parquet(str(tmp_path / "a"))
-    state = {}
-
-    def write(new_stores, new_images, number):
-        new_stores.write.mode("overwrite").parquet(str(tmp_path / f"stores{number}"))
-        new_images.write.mode("overwrite").parquet(str(tmp_path / f"images{number}"))
-        state["n"] = number
-
-    def read():
-        if "n" not in state:
-            return table, images
-        return spark.read.parquet(str(tmp_path / f"stores{state['n']}")), spark.read.parquet(str(tmp_path / f"images{state['n']}"))
-
-    for step in range(2):
-        stream = feeds.read_changes(spark, str(tmp_path / "a"), approvals.schema)
-        feeds.run_once(feeds.apply_decided_approvals(stream, read, write), str(tmp_path / "progress"))
-        if step == 0:
-            approvals.where(F.col("date_up") > half).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
-    want_stores, want_images = W.apply_approvals(table, images, approvals)
-    got_stores, got_images = read()
-    for got, want in ((got_stores, want_stores), (got_images, want_images)):
-        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    early, late = approvals.where(F.col("date_up") <= half), approvals.where(F.col("date_up") > half)
+    # The older decisions come second in one log: they must not overwrite the newer ones.
+    for name, batches in (("forth", (early, late)), ("back", (late, early))):
+        for batch in batches:
+            batch.coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            stream = feeds.read_changes(spark, str(tmp_path / name / "in"), approvals.schema)
+            feeds.run_once(feeds.log_approvals(stream, str(tmp_path / name / "log")), str(tmp_path / name / "progress"))
+        # A batch written twice counts once; a compacted log says the same.
+        W.note_changes(late if name == "forth" else early).write.mode("overwrite").parquet(str(tmp_path / name / "log" / "batch=1"))
+        feeds.compact_log(spark, str(tmp_path / name / "log"), str(tmp_path / name / "compact"))
+        for log in ("log", "compact"):
+            for got, want in zip(feeds.merged_state(table, images, str(tmp_path / name / log)), (want_stores, want_images)):
+                assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_note_changes_of_odd_notes(spark):
+    notes = [
+        (1, 1, "approved", 5, '{"new_images": [1, null, 2], "deleted_images": [2], "name": "a"}'), (2, 1, "approved", 9, '{"new_images": "x", "deleted_images": 3}'),
+        (3, None, "approved", 9, '{"name": "nobody", "new_images": [4]}'), (4, 2, "approved", None, '{"name": "undated"}'), (5, 2, "approved", 1, "[1]"), (6, 2, "approved", 1, None),
+        (7, 2, None, 1, '{"name": "x"}'), (8, 1, "approved", 5, '{"name": "b"}'),
+    ]
+    approvals = spark.createDataFrame(notes, "id long, store_id long, status string, decided int, note string")
+    changes = W.note_changes(approvals, when="decided")
+    got = {(r.store_id, r.image_id, r.field): (r.value, r.approval_id) for r in changes.collect()}
+    assert got == {
+        (None, 1, "published"): (None, 1), (None, 2, "published"): (None, 1), (None, 2, "deleted"): (None, 1), (None, 4, "published"): (None, 3),
+        (1, None, "name"): ("b", 8), (None, None, "name"): ("nobody", 3), (2, None, "name"): ("undated", 4),
+    }
+    images = spark.createDataFrame([(i, i % 3 or None, "private") for i in range(1, 6)], "id long, store_id long, state string")
+    assert {r.id: r.state for r in W.merge_image_changes(images, changes).collect()} == {1: "public", 3: "private", 4: "public", 5: "private"}
+    assert W.note_changes(approvals.limit(0), when="decided").collect() == []
+
+
+def test_rows_with_a_null_key_are_unique(spark):
+    rows = spark.createDataFrame([(1, 5, 7), (2, 5, 7), (3, None, 7), (4, None, 7), (5, 5, None)], "id long, user_id long, store_id long")
+    valid, rejected = W.check_favorites(rows)
+    assert {r.id for r in valid.collect()} == {1, 3, 4, 5} and {r.id for r in rejected.collect()} == {2}
 
 
 def test_duplicate_alerts_on_a_stream(spark, tmp_path):
