@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from placewise.functions.formats import percent_text
 from placewise.functions.text import is_valid_ocr_text
@@ -75,34 +79,33 @@ def choose_sign(ranked: DataFrame, wishes: DataFrame) -> DataFrame:
     return per_image.join(wishes, "image_id").where(F.col("sign_index") == picked).drop("_n", "wanted")
 
 
-def _fold_bands(boxes: Column) -> Column:
-    """Band number per box, boxes sorted by vertical centre; a band keeps running means of centre and height."""
-    start = F.struct(
-        F.lit(-1).alias("band"), F.lit(0.0).alias("sum_cy"), F.lit(0.0).alias("sum_h"), F.lit(0.0).alias("n"),
-        F.array().cast("array<struct<box_id:bigint,band:int>>").alias("out"),
-    )
+def _number_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``band`` to boxes sorted by stretch and vertical centre; a band keeps running means of centre and height.
 
-    def add(acc: Column, box: Column) -> Column:
-        mean_h = acc["sum_h"] / F.nullif(acc["n"], F.lit(0.0))
-        mean_cy = acc["sum_cy"] / F.nullif(acc["n"], F.lit(0.0))
-        joins = F.coalesce(F.abs(box["cy"] - mean_cy) <= F.greatest(box["h"], mean_h) * BAND_SHARE, F.lit(False))
-        band = F.when(joins, acc["band"]).otherwise(acc["band"] + 1)
-        return F.struct(
-            band.alias("band"),
-            (F.when(joins, acc["sum_cy"]).otherwise(0.0) + box["cy"]).alias("sum_cy"),
-            (F.when(joins, acc["sum_h"]).otherwise(0.0) + box["h"]).alias("sum_h"),
-            (F.when(joins, acc["n"]).otherwise(0.0) + 1.0).alias("n"),
-            F.concat(acc["out"], F.array(F.struct(box["box_id"].alias("box_id"), band.alias("band")))).alias("out"),
-        )
-
-    return F.aggregate(boxes, start, add, lambda acc: acc["out"])
+    Only the sums of the current band are carried, also from one batch to the next. A box without a centre is a band of its own.
+    """
+    key, band, sum_cy, sum_h, n = None, -1, 0.0, 0.0, 0
+    for batch in batches:
+        bands = []
+        for sign, stretch, cy, h in zip(*[batch.column(c).to_pylist() for c in ("sign_id", "_stretch", "cy", "h")]):
+            if (sign, stretch) != key:
+                key, band, n = (sign, stretch), -1, 0
+            joins = n and cy is not None and abs(cy - sum_cy / n) <= max(h, sum_h / n) * BAND_SHARE
+            if joins:
+                sum_cy, sum_h, n = sum_cy + cy, sum_h + h, n + 1
+            else:
+                band += 1
+                sum_cy, sum_h, n = (cy, h, 1) if cy is not None else (0.0, 0.0, 0)
+            bands.append(band)
+        yield batch.append_column("band", pa.array(bands, pa.int32()))
 
 
 def group_ocr_lines(boxes: DataFrame) -> DataFrame:
     """Boxes (sign_id, box_id, min_x, min_y, max_x, max_y) with the text line they belong to.
 
     The running means need an ordered pass. A vertical gap larger than any possible tolerance on the sign
-    surely ends a band, so the pass runs on the short stretches between such gaps, not on whole signs.
+    surely ends a band, so the pass runs on the short stretches between such gaps, not on whole signs. It reads the sorted rows of a
+    partition as a stream, so a long stretch takes time in proportion and no memory.
     """
     whole = Window.partitionBy("sign_id")
     down = whole.orderBy("cy", "box_id")
@@ -113,10 +116,8 @@ def group_ocr_lines(boxes: DataFrame) -> DataFrame:
     cut = (F.col("cy") - F.lag("cy").over(down)) > F.max("h").over(whole) * BAND_SHARE
     sized = sized.withColumn("_cut", F.coalesce(cut.cast("int"), F.lit(0)))
     sized = sized.withColumn("_stretch", F.sum("_cut").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = sized.groupBy("sign_id", "_stretch").agg(
-        _fold_bands(F.array_sort(F.collect_list(F.struct("cy", F.col("box_id").cast("bigint").alias("box_id"), "h")))).alias("_out")
-    ).select("sign_id", "_stretch", F.inline("_out"))
-    banded = sized.drop("_cut").join(folded, ["sign_id", "_stretch", "box_id"])
+    ordered = sized.drop("_cut").repartition("sign_id", "_stretch").sortWithinPartitions("sign_id", "_stretch", "cy", "box_id")
+    banded = ordered.mapInArrow(_number_bands, StructType([*ordered.schema, StructField("band", IntegerType())]))
     across = Window.partitionBy("sign_id", "_stretch", "band").orderBy("cx", "cy", "box_id")
     before = {k: F.lag(k).over(across) for k in ("h", "max_x")}
     ratio = F.greatest("h", before["h"]) / (F.least(F.col("h"), before["h"]) + 1e-5)

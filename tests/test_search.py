@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from placewise.operators.search import CATEGORY_SYNONYMS, smart_search
+from placewise.operators.search import CATEGORY_SYNONYMS, address_facets, smart_search
 from placewise.operators.substring import contains_join
 
 STORE = "id long, name string, address string, category_name string, lng double, lat double"
@@ -92,3 +92,11 @@ def test_substring_join_runs_nothing_while_planned(spark):
     with pytest.raises(Exception, match="ran"):
         joined.collect()
     assert sorted((r.n, r.i) for r in contains_join(needles, texts, "n", "t").collect()) == [("ab", 1), ("ab", 2), ("abcd", 1), ("x", 2)]
+
+
+def test_facets_stand_in_vietnamese_order(spark):
+    streets = ["Ân Thi", "An Dương", "Ăn Quả", "Đề Thám", "Duy Tân", "Em Ba", "Ơn Nghĩa", "Ô Môn", "Oanh Kiều", "Á Châu"]
+    stores = spark.createDataFrame([(f"{n} Đường {s}, Phường Tân An, Quận Ninh Kiều",) for n, s in enumerate(streets * 2)], "address string")
+    rows = address_facets(stores).where("facet = 'street'").orderBy("position").collect()
+    order = ["Á Châu", "An Dương", "Ăn Quả", "Ân Thi", "Duy Tân", "Đề Thám", "Em Ba", "Oanh Kiều", "Ô Môn", "Ơn Nghĩa"]
+    assert [(r.position, r.value) for r in rows] == [(n + 1, f"Đường {s}") for n, s in enumerate(order)]

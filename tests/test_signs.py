@@ -87,6 +87,21 @@ def test_group_lines_against_loop(spark):
         assert [got[s][n] for n in sorted(got[s])] == bands_by_loop(boxes)
 
 
+def test_group_lines_of_odd_boxes(spark):
+    schema = "sign_id long, box_id long, min_x double, min_y double, max_x double, max_y double"
+    # One stretch of 60,000 boxes beside a short sign: time grows with the boxes, not with their square.
+    long = spark.range(60000).selectExpr("7L AS sign_id", "id AS box_id", "id % 40 * 9.0D AS min_x", "id * 0.7D AS min_y", "id % 40 * 9.0D + 8 AS max_x", "id * 0.7D + 10 + id % 3 AS max_y")
+    rows = [(1, 1, 0.0, 0.0, 5.0, 10.0), (1, 1, 0.0, 0.0, 5.0, 10.0), (1, 2, 6.0, 1.0, 9.0, 11.0), (1, 3, 6.0, None, 9.0, 11.0), (None, 4, 0.0, 0.0, 5.0, 10.0), (None, 5, 6.0, 1.0, 9.0, 11.0)]
+    got = ocr.group_ocr_lines(long.union(spark.createDataFrame(rows, schema)))
+    lines = {}
+    for r in got.collect():
+        lines.setdefault(r.sign_id, {}).setdefault(r.line_no, []).append(r.box_id)
+    boxes = [(r.box_id, r.min_x, r.min_y, r.max_x, r.max_y) for r in long.collect()]
+    assert [set(lines[7][n]) for n in sorted(lines[7])] == bands_by_loop(boxes)
+    assert sorted(map(sorted, lines[1].values())) == [[1, 1, 2], [3]] and lines[None] == {0: [4, 5]}
+    assert ocr.group_ocr_lines(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_take_per_label_large(spark):
     rows = spark.range(20000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 50 == 1, "b").otherwise("c").alias("label"), (F.col("id") * 7919 % 20011).alias("seq"))
     got = take_per_label(rows, 2500).groupBy("label").agg(F.count("*").alias("n"), F.max("seq").alias("m")).collect()
