@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"  # the same on lower-case ASCII
 WORD_END = "</w>"
 _MOST_CACHED = 100_000
+_SHORT = 64  # letters up to which a word is merged without a heap
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -120,8 +122,12 @@ class Bpe:
         return out
 
     def merge_exactly(self, letters: str) -> list[int]:
-        """Merge by rank, leftmost first; only the ranks beside a merge change."""
+        """Merge by rank, leftmost first; only the ranks beside a merge change. Both ways below give the same tokens."""
         parts = [self.ids[c] for c in letters[:-1]] + [self.ids[letters[-1] + WORD_END]]
+        return self._merge_short(parts) if len(parts) <= _SHORT else self._merge_long(parts)
+
+    def _merge_short(self, parts: list[int]) -> list[int]:
+        """Looks through all ranks for each merge, which is fastest for common words."""
         get = self.ranks.get
         ranks = [get(p, _NEVER) for p in zip(parts, parts[1:])]
         while ranks and (rank := min(ranks)) != _NEVER:
@@ -134,6 +140,25 @@ class Bpe:
                 ranks[i] = get((parts[i], parts[i + 1]), _NEVER)
         return parts
 
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """A heap of (rank, place) over linked neighbours: n log n. An entry whose pair has changed since is passed over."""
+        get, n = self.ranks.get, len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(rank, i) for i, pair in enumerate(zip(parts, parts[1:])) if (rank := get(pair)) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if parts[i] is None or j == n or get((parts[i], parts[j])) != rank:
+                continue
+            parts[i], parts[j], after[i] = self.merged[rank], None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n and (rank := get((parts[left], parts[right]))) is not None:
+                    heappush(heap, (rank, left))
+        return [p for p in parts if p is not None]
+
     def learn(self, words: list[str]) -> None:
         """Encode new distinct words together."""
         if len(self.words) > _MOST_CACHED:

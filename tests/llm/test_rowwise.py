@@ -1,5 +1,6 @@
 """Row by row operators against plain Python on whole tables, and on odd rows."""
 
+import random
 import re
 import time
 from collections import Counter
@@ -51,6 +52,24 @@ def test_bpe_odd_texts(odd, library):
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_long_words_are_merged_in_time(library):
+    model, rng = bpe.load_bpe(queries.vocabulary("word_bpe_49k.json")), random.Random(4)
+    words = ["".join(rng.choice(kind) for _ in range(n)) for kind in ("ab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyzäßé") for n in (2, 63, 64, 65, 66, 300, 5000)]
+    words += ["a" * n for n in (64, 65, 129, 4001)] + ["the" * 900, "abcabcab" * 50]
+    for word in words:
+        letters = "".join(model.letters[b] for b in word.encode())
+        want = library.encode(word, add_special_tokens=False).ids
+        assert model.merge_exactly(letters) == want == model.encode([word])[0].tolist()
+        if len(word) < 400:
+            parts = [model.ids[c] for c in letters[:-1]] + [model.ids[letters[-1] + bpe.WORD_END]]
+            assert model._merge_long(list(parts)) == model._merge_short(list(parts))
+    start = time.perf_counter()
+    million = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    got = model.encode([million])[0].tolist()
+    assert time.perf_counter() - start < 60
+    assert got == library.encode(million, add_special_tokens=False).ids
+
+
 def test_guesses_are_checked():
     """Some longest-match guesses are wrong; checking finds exactly those."""
     model = bpe.load_bpe(queries.vocabulary("word_bpe_49k.json"))
