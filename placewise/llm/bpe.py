@@ -7,6 +7,8 @@ import re
 import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
+from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\p{Z}\p{L}\p{N
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"  # the same on lower-case ASCII
 WORD_END = "</w>"
 _MOST_CACHED = 100_000
+_HEAD = 3  # first letters that bound the length of a token
 _SHORT = 64  # letters up to which a word is merged without a heap
 _NEVER = np.iinfo(np.int64).max
 
@@ -67,6 +70,10 @@ class Bpe:
         usable = self._usable(pairs)
         self.proposed = {token: i for token, i in vocab.items() if usable[i]}
         self.longest = max(map(len, self.proposed))
+        self.reach: dict[str, int] = {}  # longest proposed token that begins with these letters
+        for token in self.proposed:
+            if len(token) >= _HEAD:
+                self.reach[token[:_HEAD]] = max(len(token), self.reach.get(token[:_HEAD], 0))
         self.words: dict[str, bytes] = {}
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,13 +114,13 @@ class Bpe:
         return out
 
     def _propose(self, letters: str) -> list[int]:
-        out, i, n, get, longest = [], 0, len(letters), self.proposed.get, self.longest
+        out, i, n, get, longest, reach = [], 0, len(letters), self.proposed.get, self.longest, self.reach.get
         ended = letters + WORD_END
         while i < n:
             token = get(ended[i:]) if n - i <= longest else None
-            j = n
+            j = min(n, i + reach(letters[i : i + _HEAD], _HEAD - 1) + 1)
             while token is None:
-                j = min(j - 1, i + longest)
+                j -= 1
                 if j == i:
                     raise ValueError("the vocabulary lacks a byte")
                 token = get(letters[i:j])
@@ -123,13 +130,13 @@ class Bpe:
 
     def merge_exactly(self, letters: str) -> list[int]:
         """Merge by rank, leftmost first; only the ranks beside a merge change. Both ways below give the same tokens."""
-        parts = [self.ids[c] for c in letters[:-1]] + [self.ids[letters[-1] + WORD_END]]
+        parts = [*map(self.ids.__getitem__, letters[:-1]), self.ids[letters[-1] + WORD_END]]
         return self._merge_short(parts) if len(parts) <= _SHORT else self._merge_long(parts)
 
     def _merge_short(self, parts: list[int]) -> list[int]:
         """Looks through all ranks for each merge, which is fastest for common words."""
         get = self.ranks.get
-        ranks = [get(p, _NEVER) for p in zip(parts, parts[1:])]
+        ranks = list(map(get, zip(parts, parts[1:]), repeat(_NEVER)))
         while ranks and (rank := min(ranks)) != _NEVER:
             i = ranks.index(rank)
             parts[i : i + 2] = [self.merged[rank]]
@@ -165,16 +172,18 @@ class Bpe:
             self.words.clear()
         letters = ["".join([self.letters[b] for b in w.encode()]) for w in words]
         guess = [self._propose(x) for x in letters]
-        flat = np.array([t for g in guess for t in g], np.int64)
-        ends = np.cumsum([len(g) for g in guess])
+        flat = np.fromiter(chain.from_iterable(guess), np.int64)
+        ends = np.cumsum(list(map(len, guess)))
         inner = np.ones(max(len(flat) - 1, 0), bool)
         inner[ends[:-1] - 1] = False  # no pair across words
         at = np.flatnonzero(inner)
         wrong = at[~self.compatible(flat[at], flat[at + 1])] if len(at) else at
+        data, bounds = flat.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        for word, start, end in zip(words, bounds, bounds[1:]):
+            self.words[word] = data[start:end]
         for i in np.unique(np.searchsorted(ends, wrong, "right")).tolist():
-            guess[i] = self.merge_exactly(letters[i])
-        for word, ids in zip(words, guess):
-            self.words[word] = np.array(ids, "<u4").tobytes()
+            ids = self.merge_exactly(letters[i])
+            self.words[words[i]] = pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
